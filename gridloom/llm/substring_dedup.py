@@ -199,8 +199,8 @@ def repeated_passages(
     live = (anchors.groupBy("gram").agg(F.min("whole").alias("a"), F.max("whole").alias("b"), F.count("*").alias("n"))
             .where("a <> b").select("gram", (F.col("n") > group).alias("hot")))
     mine = anchors.select("gram", "doc_id").join(live, "gram").groupBy("doc_id").agg(F.collect_list(F.struct("gram", "hot")).alias("live"))
+    # both kinds of group and the last join read the texts from one exchange by doc_id
     segs = segments(solid.join(mine.join(copies, "doc_id", "left_anti"), "doc_id"), window, prefix)
-    segs = durable(segs)  # read by both kinds of group
     marks = tree_marks(segs, window).union(node_marks(segs, window)).groupBy("doc_id").agg(F.collect_list("pos").alias("marks"))
     facts = marks.select("doc_id", "marks", F.lit(False).alias("copy")).union(copies.select("doc_id", F.lit(None).cast("array<int>"), F.lit(True)))
     dealt = solid.join(facts.groupBy("doc_id").agg(F.first("marks", True).alias("marks"), F.max("copy").alias("copy")), "doc_id", "left")
