@@ -104,7 +104,8 @@ def stored(own: DataFrame) -> DataFrame:
             yield pa.record_batch([b.column("medium"), pa.array(out, kind)], names=["medium", "m"])
 
     made = own.select("medium", "t").mapInArrow(run, "medium binary, m struct<n_bytes:long,whole:binary,chunks:array<struct<digest:binary,z:binary>>>")
-    return made.groupBy("medium").agg(F.first("m").alias("m"))
+    # the filter says what an inner join would infer: so every reader of the bytes shares one exchange
+    return made.where("medium is not null").groupBy("medium").agg(F.first("m").alias("m"))
 
 
 def listed(own: DataFrame) -> DataFrame:
