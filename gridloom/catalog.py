@@ -1,15 +1,832 @@
-"""The library's queries by name, with the SQL that gives the same rows."""
+"""The library's queries by name, each an operator applied to whole tables, with the SQL that gives the same rows.
+
+Tables have no rasters, so fields, masks and lines are read off their columns: cells of a 100 x 100 source grid by
+part and supplier keys, masks by region, profiles by part, lines by user, rings by label. Doubles are rounded on
+both sides, for the order of a sum varies.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import geometry, palette, text, validity
+from .operators import edges, grid, interp, mesh, polygon, polyline, select, spatial, stats, trace
+from .plans import layers, raster
+from .shipping import ship
+from .sources import package
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+SOURCE = grid.Grid(100, 100, 0.0, 9900.0, 100.0, -100.0)
+TARGET = grid.Grid(60, 50, -250.0, 10100.0, 180.0, -210.0)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: (lambda spark, sf_dir, f=f: f(ship(spark), sf_dir)) for name, f in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r(c: Column, n: int = 6) -> Column:
+    return F.round(c, n)
+
+
+# fields ---------------------------------------------------------------------------------------------------------
+
+def field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row, col, price, discount, n): one row a cell that has lines."""
+    li = t(spark, sf_dir, "lineitem")
+    return li.groupBy((F.col("l_suppkey") % 100).alias("row"), (F.col("l_partkey") % 100).alias("col")).agg(
+        F.max("l_extendedprice").alias("price"), F.min("l_quantity").alias("low"), F.count("*").alias("n"))
+
+
+FIELD = "field AS (SELECT l_suppkey % 100 AS row, l_partkey % 100 AS col, max(l_extendedprice) AS price, min(l_quantity) AS low, count(*) AS n FROM lineitem GROUP BY 1, 2)"
+CELLS = """cells AS (SELECT i AS cell_id, i // 60 AS row, i % 60 AS col, -250.0::DOUBLE + (i % 60) * 180 AS x, 10100.0::DOUBLE + (i // 60) * -210 AS y FROM range(3000) AS g(i)),
+idx AS (SELECT *, CAST(round_even(x / 100, 0) AS BIGINT) AS sc, CAST(round_even((y - 9900) / -100, 0) AS BIGINT) AS sr FROM cells),
+src AS (SELECT *, CASE WHEN sc BETWEEN 0 AND 99 AND sr BETWEEN 0 AND 99 THEN sr END AS src_row, CASE WHEN sc BETWEEN 0 AND 99 AND sr BETWEEN 0 AND 99 THEN sc END AS src_col FROM idx)"""
+
+
+def mask_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row, col) set on a 40 x 40 grid: where suppliers and parts meet often."""
+    li = t(spark, sf_dir, "lineitem")
+    return li.where("l_quantity > 49").select((F.col("l_suppkey") % 40).alias("row"), (F.col("l_partkey") % 40).alias("col")).distinct()
+
+
+MASK = "mask AS (SELECT DISTINCT l_suppkey % 40 AS row, l_partkey % 40 AS col FROM lineitem WHERE l_quantity > 49)"
+SPARSE = "sparse AS (SELECT DISTINCT l_suppkey % 40 AS row, l_partkey % 40 AS col FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.085)"
+
+
+def sparse_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = t(spark, sf_dir, "lineitem")
+    return li.where("l_quantity > 49 and l_discount > 0.085").select((F.col("l_suppkey") % 40).alias("row"), (F.col("l_partkey") % 40).alias("col")).distinct()
+
+
+def price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines with a sentinel for the small and a NaN for the odd ones."""
+    li = t(spark, sf_dir, "lineitem")
+    v = F.when(F.col("l_quantity") < 5, F.lit(-9999.0)).when(F.col("l_linenumber") == 7, F.lit(float("nan"))).otherwise(F.col("l_extendedprice") - 20000)
+    return li.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_quantity", "l_discount", v.alias("v"))
+
+
+PRICE = "price AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_returnflag, l_quantity, l_discount, CASE WHEN l_quantity < 5 THEN -9999.0::DOUBLE WHEN l_linenumber = 7 THEN 'nan'::DOUBLE ELSE l_extendedprice - 20000 END AS v FROM lineitem)"
+V1 = "CASE WHEN isfinite(v) AND v <> -9999 THEN v END"
+
+
+# grids and joins ------------------------------------------------------------------------------------------------
+
+@query(f"""WITH {FIELD}, {CELLS}
+SELECT cell_id, src.row, src.col, CASE WHEN price IS NULL THEN -32768 ELSE CAST(round_even(greatest(-32767, least(32767, price)), 0) AS INTEGER) END AS price
+FROM src LEFT JOIN field f ON f.row = src_row AND f.col = src_col""")
+def axis_resample_nearest(spark, sf_dir):
+    got = grid.resample_nearest(grid.cells(spark, TARGET), SOURCE, field(spark, sf_dir), ["price"])
+    return got.select("cell_id", "row", "col", validity.quantize(F.col("price")).cast("int").alias("price"))
+
+
+@query(f"""WITH {FIELD}, {CELLS}, j AS (SELECT price FROM src LEFT JOIN field f ON f.row = src_row AND f.col = src_col)
+SELECT count(price) AS valid_count, count(*) AS cell_count, round(count(price) / count(*), 6) AS fraction, min(price) AS min, max(price) AS max, round(avg(price), 4) AS mean,
+round(quantile_cont(price, 0.5), 4) AS median, round(quantile_cont(price, 0.9), 4) AS q90, round(quantile_cont(price, 0.95), 4) AS q95, round(quantile_cont(price, 0.99), 4) AS q99, round(quantile_cont(price, 0.995), 4) AS q99_5 FROM j""")
+def raster_summary(spark, sf_dir):
+    _, summary = raster.scalar(spark, TARGET, SOURCE, field(spark, sf_dir), "price", validity.non_negative)
+    return summary.select("valid_count", "cell_count", r(F.col("fraction")).alias("fraction"), "min", "max", *(r(F.col(c), 4).alias(c) for c in ("mean", "median", "q90", "q95", "q99", "q99_5")))
+
+
+@query(f"""WITH {FIELD}, {CELLS} SELECT cell_id, n FROM src LEFT JOIN field f ON f.col = src_row AND f.row = src_col""")
+def transposed_resample(spark, sf_dir):
+    return grid.resample_nearest(grid.cells(spark, TARGET), SOURCE, field(spark, sf_dir), ["n"], transposed=True).select("cell_id", "n")
+
+
+@query("""SELECT i, 0.0::DOUBLE + i * 730 AS target, CAST(least(99, round_even(i * 730 / 100.0::DOUBLE, 0)) AS BIGINT) AS src FROM range(14) AS g(i)""")
+def axis_resolution(spark, sf_dir):
+    return grid.resolution_axis(spark, 100, 0.0, 100.0, 730.0).select("i", "target", "src")
+
+
+@query(f"""WITH {FIELD} SELECT row // 4 AS row, col // 4 AS col, n FROM field WHERE row % 4 = 0 AND col % 4 = 0""")
+def axis_resample_stride(spark, sf_dir):
+    return grid.strided(field(spark, sf_dir), 4).select("row", "col", "n")
+
+
+@query(f"""WITH {FIELD}, p AS (SELECT o_orderkey, (o_custkey * 37) % 12000 - 900.0::DOUBLE AS x, 10400.0::DOUBLE - (o_orderkey * 53) % 11500 AS y FROM orders),
+i AS (SELECT *, round_even(x / 100, 0) AS c, round_even((y - 9900) / -100, 0) AS r FROM p)
+SELECT o_orderkey, CAST(coalesce(n % 5, 255) AS BIGINT) AS mask FROM i LEFT JOIN field f ON f.row = r AND f.col = c AND c BETWEEN 0 AND 99 AND r BETWEEN 0 AND 99""")
+def point_lookup_default(spark, sf_dir):
+    o = t(spark, sf_dir, "orders")
+    pts = o.select("o_orderkey", ((F.col("o_custkey") * 37) % 12000 - F.lit(900.0)).alias("x"), (F.lit(10400.0) - (F.col("o_orderkey") * 53) % 11500).alias("y"))
+    mask = field(spark, sf_dir).select("row", "col", (F.col("n") % 5).alias("mask"))
+    return grid.lookup(pts, SOURCE, mask, "mask", 255).select("o_orderkey", "mask")
+
+
+SEGS = """segs AS (SELECT o_orderkey AS seg_id, CAST(o_custkey % 104 AS DOUBLE) - 2.3 AS col0, CAST(o_orderkey % 100 AS DOUBLE) AS row0, CAST(o_custkey % 50 AS DOUBLE) AS depth0,
+ CAST((o_custkey * 7) % 100 AS DOUBLE) + 0.4 AS col1, CAST((o_orderkey * 3) % 100 AS DOUBLE) AS row1, CAST(o_custkey % 70 AS DOUBLE) AS depth1, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS terminal_flag FROM orders)"""
+
+
+def ocean(spark, sf_dir):
+    d = lambda c: c.cast("double")
+    o, k, c = t(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("o_custkey")
+    segs = o.select(k.alias("seg_id"), (d(c % 104) - 2.3).alias("col0"), d(k % 100).alias("row0"), d(c % 50).alias("depth0"), (d((c * 7) % 100) + 0.4).alias("col1"), d((k * 3) % 100).alias("row1"), d(c % 70).alias("depth1"), (F.col("o_orderstatus") == "F").cast("int").alias("terminal_flag"))
+    cells = field(spark, sf_dir).select("row", "col", (F.col("n") % 5).alias("mask"), (-F.col("low") * 12).alias("bed"))
+    return mesh.ocean_segments(segs, cells, 100, 100)
+
+
+OCEAN = f"""WITH {FIELD}, {SEGS}, c AS (SELECT row, col, n % 5 AS mask, -low * 12 AS bed FROM field),
+kept AS (SELECT s.* FROM segs s JOIN c a ON a.col = floor(col0 + 0.5) AND a.row = floor(row0 + 0.5) JOIN c b ON b.col = floor(col1 + 0.5) AND b.row = floor(row1 + 0.5)
+ WHERE col0 BETWEEN 0 AND 99 AND col1 BETWEEN 0 AND 99 AND a.mask IN (0, 3) AND b.mask IN (0, 3) AND -a.bed >= depth0 + 20 AND -b.bed >= depth1 + 20)"""
+
+
+@query(f"{OCEAN} SELECT seg_id, terminal_flag FROM kept")
+def segment_two_end_lookup(spark, sf_dir):
+    return ocean(spark, sf_dir).select("seg_id", "terminal_flag")
+
+
+@query(f"{OCEAN} SELECT CASE WHEN depth0 < 25 THEN 'upper' ELSE 'lower' END AS layer, CAST(sum(1 + 2 * terminal_flag) AS BIGINT) AS pairs, count(*) AS segments FROM kept GROUP BY 1")
+def layer_pair_counts(spark, sf_dir):
+    return mesh.pair_counts(ocean(spark, sf_dir).withColumn("layer", F.when(F.col("depth0") < 25, "upper").otherwise("lower")), "layer")
+
+
+@query(f"""WITH {FIELD}, u AS (SELECT DISTINCT col FROM field WHERE price > 60000) SELECT col, row_number() OVER (ORDER BY col) - 1 AS code FROM u""")
+def needed_index_set(spark, sf_dir):
+    return grid.compact_codes(field(spark, sf_dir).where("price > 60000"), "col")
+
+
+@query(f"""WITH {FIELD} SELECT a.row, a.col, (a.price + b.price) / 2 AS price FROM field a JOIN field b ON b.row = a.row AND b.col = a.col + 1""")
+def staggered_mean(spark, sf_dir):
+    return grid.neighbour_mean(field(spark, sf_dir), "price", "col").select("row", "col", "price")
+
+
+@query(f"""WITH {FIELD} SELECT row, col, n % 2 = 0 AND row % 3 = 0 AS open_water, n % 2 = 0 AND row % 3 = 1 AND col < 60 AS cavity,
+(n % 2 = 0 AND row % 3 = 0) OR (n % 2 = 0 AND row % 3 = 1 AND col < 60) AS water FROM field""")
+def water_classes(spark, sf_dir):
+    f = field(spark, sf_dir)
+    mask = F.when(F.col("row") % 3 == 0, 0).when(F.col("row") % 3 == 1, 3).otherwise(2)
+    return f.select("row", "col", *(c.alias(k) for k, c in grid.classify_water(F.col("n") % 2 == 0, mask, F.col("col") < 60).items()))
+
+
+@query("""SELECT c_custkey, c_acctbal AS x FROM customer WHERE c_acctbal BETWEEN 1000 - 450 AND 5000 + 450 AND c_nationkey BETWEEN 3 - 450 AND 9 + 450""")
+def region_box(spark, sf_dir):
+    c = t(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("x"), F.col("c_nationkey").alias("y"))
+    return grid.within(c, "x", "y", (1000, 3, 5000, 9), 450).select("c_custkey", "x")
+
+
+@query(f"""WITH {FIELD} SELECT a.row * 100 + a.col AS cell_id, a.price, b.n FROM field a JOIN field b USING (row, col) WHERE b.n > 5""")
+def aligned_layers(spark, sf_dir):
+    f = field(spark, sf_dir).withColumn("cell_id", F.col("row") * 100 + F.col("col"))
+    return grid.aligned(f.select("cell_id", "price"), f.where("n > 5").select("cell_id", "n"))
+
+
+@query(f"""WITH {FIELD} SELECT f.col * 2 AS j, f.row AS i, n FROM field f WHERE f.row % 7 = 0 AND f.col % 9 = 0""")
+def gathered_rows(spark, sf_dir):
+    rows = spark.range(15).select((F.col("id") * 7).alias("row"), (F.col("id") * 7).alias("i"))
+    cols = spark.range(12).select((F.col("id") * 9).alias("col"), (F.col("id") * 18).alias("j"))
+    return grid.gathered(field(spark, sf_dir), rows, cols).select("i", "j", "n")
+
+
+# validity and quantisation ---------------------------------------------------------------------------------------
+
+def summary(df: DataFrame, v: Column) -> DataFrame:
+    return df.withColumn("w", v).groupBy("l_returnflag").agg(F.count("w").alias("n"), r(F.sum("w"), 2).alias("total"))
+
+
+def rule(cond: str, value: str = "v") -> str:
+    return f"WITH {PRICE} SELECT l_returnflag, count(w) AS n, round(sum(w), 2) AS total FROM (SELECT *, CASE WHEN {cond} THEN {value} END AS w FROM price) GROUP BY 1"
+
+
+@query(rule("isfinite(v) AND v <> -9999"))
+def validity_v1(spark, sf_dir):
+    return summary(price(spark, sf_dir), validity.exact_sentinel(F.col("v")))
+
+
+@query(rule("isfinite(v) AND abs(v + 9999) > 0.001 AND abs(l_quantity + 9999) > 0.001"))
+def validity_v2(spark, sf_dir):
+    return summary(price(spark, sf_dir), validity.paired_sentinel(F.col("v"), F.col("l_quantity"), -9999.0)[0])
+
+
+@query(rule("isfinite(v) AND v >= 0"))
+def validity_v3(spark, sf_dir):
+    return summary(price(spark, sf_dir), validity.non_negative(F.col("v")))
+
+
+@query(rule("isfinite(v) AND v > 0"))
+def validity_v4(spark, sf_dir):
+    return summary(price(spark, sf_dir), validity.positive(F.col("v")))
+
+
+@query(rule("isfinite(v) AND l_suppkey % 5 = 2"))
+def validity_v5(spark, sf_dir):
+    return summary(price(spark, sf_dir), validity.mask_gated(F.col("v"), F.col("l_suppkey") % 5))
+
+
+@query(rule("isfinite(v) AND abs(v * 1e16) <= 1e20", "v"))
+def validity_v6(spark, sf_dir):
+    return summary(price(spark, sf_dir), validity.not_huge(F.col("v") * 1e16) / 1e16)
+
+
+@query(f"WITH {PRICE} SELECT l_orderkey, l_linenumber, CASE WHEN isfinite(v) AND v <> -9999 THEN CAST(round_even(greatest(-32767, least(32767, v)), 0) AS INTEGER) ELSE -32768 END AS q FROM price")
+def quantize_unit(spark, sf_dir):
+    return price(spark, sf_dir).select("l_orderkey", "l_linenumber", validity.quantize(validity.exact_sentinel(F.col("v"))).cast("int").alias("q"))
+
+
+@query(f"WITH {PRICE} SELECT l_orderkey, l_linenumber, CASE WHEN isfinite(v) THEN CAST(round_even(greatest(-1000, least(1000, v / 25)), 0) AS INTEGER) ELSE -32768 END AS q FROM price")
+def quantize_scaled(spark, sf_dir):
+    return price(spark, sf_dir).select("l_orderkey", "l_linenumber", validity.quantize(F.col("v"), 25, -1000, 1000).cast("int").alias("q"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey <> 7 THEN l_partkey * 0.5::DOUBLE + 3 END AS v FROM lineitem")
+def dequantize(spark, sf_dir):
+    return t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", validity.dequantize(F.col("l_partkey"), 0.5, 3, 7).alias("v"))
+
+
+@query(f"WITH {PRICE} SELECT l_orderkey, l_linenumber, CASE WHEN isfinite(v) THEN CAST(round_even(greatest(0, least(65535, v * 2)), 0) AS INTEGER) ELSE 0 END AS id FROM price")
+def id_coercion(spark, sf_dir):
+    return price(spark, sf_dir).select("l_orderkey", "l_linenumber", validity.identifier(F.col("v") * 2).alias("id"))
+
+
+# aggregates ------------------------------------------------------------------------------------------------------
+
+def valid(spark, sf_dir):
+    return price(spark, sf_dir).withColumn("w", validity.exact_sentinel(F.col("v")))
+
+
+@query(f"WITH {PRICE} SELECT l_returnflag, round(min(w), 4) AS min, round(max(w), 4) AS max, round(avg(w), 4) AS mean FROM (SELECT *, {V1} AS w FROM price) GROUP BY 1")
+def stats_valid(spark, sf_dir):
+    out = valid(spark, sf_dir).groupBy("l_returnflag").agg(*stats.stats(F.col("w")))
+    return out.select("l_returnflag", *(r(F.col(c), 4).alias(c) for c in ("min", "max", "mean")))
+
+
+@query(f"WITH {PRICE} SELECT coalesce(min(w), 0) AS min, coalesce(max(w), 0) AS max, coalesce(avg(w), 0) AS mean FROM (SELECT {V1} AS w FROM price WHERE l_quantity < 0)")
+def stats_empty(spark, sf_dir):
+    return valid(spark, sf_dir).where("l_quantity < 0").agg(*stats.stats(F.col("w"), 0.0))
+
+
+@query(f"WITH {PRICE} SELECT l_returnflag, " + ", ".join(f"round(quantile_cont(w, {q}), 3) AS {n}" for n, q in stats.QUANTILES.items()) + f" FROM (SELECT *, {V1} AS w FROM price) GROUP BY 1")
+def quantiles_linear(spark, sf_dir):
+    out = valid(spark, sf_dir).groupBy("l_returnflag").agg(*stats.quantiles(F.col("w")))
+    return out.select("l_returnflag", *(r(F.col(c), 3).alias(c) for c in stats.QUANTILES))
+
+
+@query("""SELECT o_orderpriority, round(coalesce(CASE WHEN b > a THEN a ELSE lo END, 0), 3) AS low, round(coalesce(CASE WHEN b > a THEN b ELSE hi END, 1), 3) AS high
+FROM (SELECT o_orderpriority, quantile_cont(o_totalprice, 0.02) AS a, quantile_cont(o_totalprice, 0.98) AS b, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders GROUP BY 1)""")
+def percentile_range(spark, sf_dir):
+    out = t(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(*stats.percentile_range(F.col("o_totalprice"), 2, 98))
+    return out.select("o_orderpriority", r(F.col("low"), 3).alias("low"), r(F.col("high"), 3).alias("high"))
+
+
+@query(f"WITH {PRICE} SELECT l_returnflag, count(w) AS valid_count, count(*) AS cell_count, round(count(w) / count(*), 6) AS fraction FROM (SELECT *, {V1} AS w FROM price) GROUP BY 1")
+def coverage_fraction(spark, sf_dir):
+    out = valid(spark, sf_dir).groupBy("l_returnflag").agg(*stats.coverage(F.col("w")))
+    return out.withColumn("fraction", r(F.col("fraction")))
+
+
+@query("SELECT string_agg(k || '=' || n, ';' ORDER BY k) AS counts FROM (SELECT event_type AS k, count(*) AS n FROM events GROUP BY 1)")
+def mask_histogram(spark, sf_dir):
+    m = stats.category_counts(t(spark, sf_dir, "events"), "event_type")
+    return m.select(F.array_join(F.transform(F.array_sort(F.map_entries("counts")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("counts"))
+
+
+@query("SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS errors, count(*) AS n FROM events GROUP BY 1")
+def conditional_count(spark, sf_dir):
+    return t(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("errors"), F.count("*").alias("n"))
+
+
+EDGES = """edges AS (SELECT CAST(o_custkey % 50 AS BIGINT) AS col1, CAST(o_custkey // 50 % 40 AS BIGINT) AS row1, CAST(l_suppkey % 50 AS BIGINT) AS col2, CAST(l_suppkey // 50 % 40 AS BIGINT) AS row2, l_extendedprice / 1000 AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
+
+
+def edge_rows(spark, sf_dir):
+    j = t(spark, sf_dir, "lineitem").join(t(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    at = lambda c: ((F.col(c) % 50), F.floor(F.col(c) / 50) % 40)
+    (c1, r1), (c2, r2) = at("o_custkey"), at("l_suppkey")
+    return edges.kept_edges(j.select(c1.alias("col1"), r1.alias("row1"), c2.alias("col2"), r2.alias("row2"), (F.col("l_extendedprice") / 1000).alias("q")), 50, 40, 5.0)
+
+
+@query(f"""WITH {EDGES}, k AS (SELECT row1 * 50 + col1 AS a, row2 * 50 + col2 AS b, q FROM edges WHERE q >= 5 AND NOT (col1 = col2 AND row1 = row2)),
+g AS (SELECT least(a, b) AS a, greatest(a, b) AS b, max(q) AS q, count(*) AS kept FROM k GROUP BY 1, 2)
+SELECT a % 50 AS col1, a // 50 AS row1, b % 50 AS col2, b // 50 AS row2, q, kept FROM g""")
+def edge_collapse_max(spark, sf_dir):
+    return edges.collapse(edge_rows(spark, sf_dir), 50)
+
+
+@query(f"WITH {MASK} SELECT arg_min(row, (power(row - 19.5, 2) + power(col - 20.5, 2)) * 100000 + row * 40 + col) AS row, arg_min(col, (power(row - 19.5, 2) + power(col - 20.5, 2)) * 100000 + row * 40 + col) AS col FROM mask")
+def argmin_cell(spark, sf_dir):
+    return spatial.nearest_cell(mask_cells(spark, sf_dir), F.col("row") - 19.5, F.col("col") - 20.5, 40)
+
+
+@query(f"""WITH {FIELD}, x AS (SELECT row // 10 AS bin_row, col // 10 AS bin_col, row, col, n, row_number() OVER (PARTITION BY row // 10, col // 10 ORDER BY n DESC, row DESC, col DESC) AS k FROM field)
+SELECT bin_row, bin_col, row, col, n FROM x WHERE k = 1""")
+def argmax_block(spark, sf_dir):
+    return spatial.fastest_in_block(field(spark, sf_dir), 10, "n")
+
+
+@query("""WITH p AS (SELECT embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), s AS (SELECT least(7, CAST(floor(fmod(atan2(y, x) + 2 * pi(), 2 * pi()) / (pi() / 4)) AS INTEGER)) AS sector FROM p)
+SELECT CAST(i AS INTEGER) AS sector, count(sector) AS count FROM range(8) g(i) LEFT JOIN s ON sector = i GROUP BY 1""")
+def sector_histogram(spark, sf_dir):
+    e = t(spark, sf_dir, "embeddings").select(*(F.get("embedding", F.lit(k)).cast("double").alias(c) for k, c in enumerate("xy")))
+    return spatial.sector_counts(e, F.col("x"), F.col("y"))
+
+
+@query("SELECT l_returnflag, count(DISTINCT (l_partkey, l_suppkey)) AS cells FROM lineitem GROUP BY 1")
+def unique_cells(spark, sf_dir):
+    return t(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.countDistinct("l_partkey", "l_suppkey").alias("cells"))
+
+
+@query(f"WITH {PRICE} SELECT round(min(w), 4) AS min, round(max(w), 4) AS max, round(avg(w), 4) AS mean, count(w) AS weight FROM (SELECT {V1} AS w FROM price)")
+def merge_partial_stats(spark, sf_dir):
+    parts = valid(spark, sf_dir).groupBy("l_returnflag", F.col("l_suppkey") % 7).agg(*stats.stats(F.col("w")), F.count("w").alias("weight"))
+    return stats.merged_stats(parts, "weight").select(*(r(F.col(c), 4).alias(c) for c in ("min", "max", "mean")), F.col("weight").cast("long").alias("weight"))
+
+
+@query("SELECT event_type AS key, count(*) AS count FROM events GROUP BY 1")
+def merge_count_maps(spark, sf_dir):
+    parts = t(spark, sf_dir, "events").groupBy("user_id", "event_type").count().groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "count"))).alias("counts"))
+    return stats.merged_counts(parts, "counts")
+
+
+@query("SELECT CAST(k - 1 AS INTEGER) AS position, round(sum(embedding[k]::DOUBLE), 3) AS count FROM embeddings, range(1, 9) g(k) GROUP BY 1")
+def merge_sector_arrays(spark, sf_dir):
+    e = t(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("counts"))
+    return stats.merged_arrays(e, "counts").select("position", r(F.col("count"), 3).alias("count"))
+
+
+@query(f"WITH {PRICE} SELECT l_suppkey, round(sum(coalesce({V1}, 0) * l_quantity) / sum(l_quantity), 4) AS mean FROM price GROUP BY 1")
+def weighted_column_mean(spark, sf_dir):
+    return valid(spark, sf_dir).groupBy("l_suppkey").agg(r(stats.weighted_mean(F.col("w"), F.col("l_quantity")), 4).alias("mean"))
+
+
+@query(f"WITH {PRICE} SELECT round(least(coalesce(quantile_cont(CASE WHEN w < 0 THEN w END, 0.9), -0.25), -0.05), 4) AS low, round(greatest(coalesce(quantile_cont(CASE WHEN w > 0 THEN w END, 0.9), 0.25), 0.25), 4) AS high FROM (SELECT {V1} AS w FROM price)")
+def display_range(spark, sf_dir):
+    out = valid(spark, sf_dir).agg(*stats.display_range(F.col("w"), "zero_centered_asymmetric", 10, 90))
+    return out.select(r(F.col("low"), 4).alias("low"), r(F.col("high"), 4).alias("high"))
+
+
+@query("SELECT round(least(0, quantile_cont(value, 0.01)), 4) AS low, round(greatest(quantile_cont(value, 0.99), least(0, quantile_cont(value, 0.01)) + 1e-6), 4) AS high FROM events")
+def display_range_positive(spark, sf_dir):
+    out = t(spark, sf_dir, "events").agg(*stats.display_range(F.col("value"), "sequential_positive", 1, 99))
+    return out.select(r(F.col("low"), 4).alias("low"), r(F.col("high"), 4).alias("high"))
+
+
+@query("SELECT round(quantile_cont(value, 0.5), 4) AS median FROM events WHERE event_id % CAST(ceil((SELECT count(*) FROM events) / 2500.0) AS BIGINT) = 0")
+def sampled_median(spark, sf_dir):
+    return stats.sampled_median(t(spark, sf_dir, "events"), "event_id", "value", 2500).select(r(F.col("median"), 4).alias("median"))
+
+
+@query("SELECT least(min(s_acctbal), min(s_suppkey)) AS low, greatest(max(s_acctbal), max(s_suppkey)) AS high FROM supplier")
+def bounds_two_columns(spark, sf_dir):
+    return t(spark, sf_dir, "supplier").agg(*stats.bounds("s_acctbal", "s_suppkey"))
+
+
+@query("SELECT round(avg(abs(x - p)), 6) AS step FROM (SELECT s_acctbal AS x, lag(s_acctbal) OVER (ORDER BY s_suppkey) AS p FROM supplier)")
+def axis_mean_step(spark, sf_dir):
+    w = Window.orderBy("s_suppkey")  # an axis: as many rows as a grid has columns
+    return t(spark, sf_dir, "supplier").select(F.abs(F.col("s_acctbal") - F.lag("s_acctbal").over(w)).alias("d")).agg(r(F.avg("d")).alias("step"))
+
+
+RINGS = "rings AS (SELECT label, list(struct_pack(x := embedding[1]::DOUBLE * 100, y := embedding[2]::DOUBLE * 100) ORDER BY vec_id) AS r FROM embeddings GROUP BY label)"
+
+
+def rings(spark, sf_dir):
+    pt = F.struct("vec_id", *((F.get("embedding", F.lit(k)).cast("double") * 100).alias(c) for k, c in enumerate("xy")))
+    e = t(spark, sf_dir, "embeddings").groupBy("label").agg(F.array_sort(F.collect_list(pt)).alias("p"))
+    return e.select("label", F.transform("p", lambda q: F.struct(q["x"], q["y"])).alias("ring"))
+
+
+@query(f"""WITH {RINGS}, e AS (SELECT label, r[k] AS a, r[k % len(r) + 1] AS b FROM (SELECT label, r, unnest(range(1, len(r) + 1)) AS k FROM rings)),
+s AS (SELECT label, sum(a.x * b.y - b.x * a.y) AS c, sum((a.x + b.x) * (a.x * b.y - b.x * a.y)) AS sx, sum((a.y + b.y) * (a.x * b.y - b.x * a.y)) AS sy FROM e GROUP BY 1)
+SELECT label, round(c / 2, 3) AS area, round(sx / (3 * c), 3) AS cx, round(sy / (3 * c), 3) AS cy FROM s""")
+def polygon_measures(spark, sf_dir):
+    m = rings(spark, sf_dir).select("label", polygon.measures(F.col("ring")).alias("m"))
+    return m.select("label", *(r(F.col(f"m.{c}"), 3).alias(c) for c in ("area", "cx", "cy")))
+
+
+# lines -----------------------------------------------------------------------------------------------------------
+
+def track(spark, sf_dir):
+    """Each user's events in order, as points."""
+    e = t(spark, sf_dir, "events")
+    return e.select("user_id", "event_id", "event_type", (F.col("value") % 97).alias("x"), (F.col("value") * 3 % 89).alias("y"), "value")
+
+
+TRACK = "track AS (SELECT user_id, event_id, event_type, value % 97 AS x, value * 3 % 89 AS y, value FROM events)"
+
+
+@query(f"""WITH {TRACK} SELECT * FROM (SELECT user_id, event_id, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1, CASE WHEN lead(event_id, 2) OVER w IS NULL THEN 1 ELSE 0 END AS terminal_flag FROM track WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE x1 IS NOT NULL""")
+def points_to_segments(spark, sf_dir):
+    return polyline.segments(track(spark, sf_dir), "user_id", "event_id", ["x", "y"])
+
+
+@query(f"""WITH {TRACK}, f AS (SELECT * FROM (SELECT user_id, event_id, lead(event_id) OVER w AS n1, CASE WHEN lead(event_id, 2) OVER w IS NULL THEN 1 ELSE 0 END AS terminal_flag FROM track WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE n1 IS NOT NULL)
+SELECT event_id, CAST(coalesce(sum(terminal_flag) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line_ordinal FROM f""")
+def line_ordinals(spark, sf_dir):
+    return polyline.line_ordinal(polyline.segments(track(spark, sf_dir), "user_id", "event_id", ["x"]), "event_id").select("event_id", "line_ordinal")
+
+
+@query("""SELECT event_id, CAST(coalesce(sum(length(props)) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset FROM events""")
+def byte_offsets(spark, sf_dir):
+    e = t(spark, sf_dir, "events").select(F.col("event_id").alias("position"), F.length("props").cast("long").alias("byte_length"))
+    return package.layout(e).select(F.col("position").alias("event_id"), "byte_offset")
+
+
+@query("""WITH b AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1), x AS (SELECT k, CAST(coalesce(sum(n) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS low, n FROM b)
+SELECT c_custkey, k AS bucket FROM customer LEFT JOIN x ON c_custkey >= low AND c_custkey < low + n""")
+def layer_boundaries(spark, sf_dir):
+    c = t(spark, sf_dir, "customer")
+    b = polyline.boundaries(c.groupBy(F.col("c_nationkey").alias("bucket")).agg(F.count("*").alias("n")), "bucket", "n")
+    return polyline.bucket_of(c.select("c_custkey"), "c_custkey", b).select("c_custkey", "bucket")
+
+
+@query("""SELECT conv_id, turn, CAST(sum(length(text)) OVER w - length(text) AS BIGINT) AS start, CASE WHEN role = 'user' THEN count(*) FILTER (WHERE role = 'user') OVER w END AS voice_number
+FROM conversations WHERE conv_id = 3 AND text IS NOT NULL WINDOW w AS (ORDER BY turn ROWS UNBOUNDED PRECEDING)""")
+def timeline_offsets(spark, sf_dir):
+    c = t(spark, sf_dir, "conversations").where("conv_id = 3 and text is not null").withColumn("duration", F.length("text").cast("long"))
+    return polyline.timeline(c, "turn", "duration", F.col("role") == "user").select("conv_id", "turn", F.col("start").cast("long").alias("start"), F.col("voice_number").cast("long").alias("voice_number"))
+
+
+@query("""SELECT e.event_id, (SELECT s.value FROM events s WHERE s.user_id = e.user_id AND s.event_type = 'signup' AND s.ts <= e.ts ORDER BY s.ts DESC, s.event_id DESC LIMIT 1) AS value FROM events e WHERE e.event_type = 'purchase'""")
+def keyframe_asof(spark, sf_dir):
+    e = t(spark, sf_dir, "events")
+    steps = e.where("event_type = 'signup'").select("user_id", "ts", "value")
+    return polyline.latest_before(e.where("event_type = 'purchase'").select("user_id", "ts", "event_id"), steps, "user_id", "ts", ["value"]).select("event_id", "value")
+
+
+@query(f"""WITH {TRACK} SELECT user_id, event_id, coalesce(list_contains(list(s) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), s), false) AS revisit FROM (SELECT *, CAST(round_even(x / 20, 0) AS BIGINT) AS s FROM track)""")
+def revisit_flag(spark, sf_dir):
+    return polyline.revisits(track(spark, sf_dir), "user_id", "event_id", F.rint(F.col("x") / 20).cast("long")).select("user_id", "event_id", "revisit")
+
+
+@query(f"""WITH {TRACK}, d AS (SELECT *, x - lag(x) OVER w AS ax, y - lag(y) OVER w AS ay, lead(x) OVER w - x AS px, lead(y) OVER w - y AS py FROM track WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+a AS (SELECT *, CASE WHEN sqrt(ax * ax + ay * ay) * sqrt(px * px + py * py) > 0 THEN degrees(acos(greatest(-1, least(1, (ax * px + ay * py) / (sqrt(ax * ax + ay * ay) * sqrt(px * px + py * py)))))) END AS turn FROM d)
+SELECT user_id, event_id, round(turn, 4) AS turn, coalesce(turn, 0) >= 150 AND coalesce(sum(CASE WHEN coalesce(turn, 0) >= 150 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 0) > 0 AS reversal FROM a""")
+def turn_angle_flag(spark, sf_dir):
+    return polyline.reversals(track(spark, sf_dir), "user_id", "event_id").select("user_id", "event_id", r(F.col("turn"), 4).alias("turn"), "reversal")
+
+
+@query(f"""WITH {TRACK} SELECT user_id, count(*) AS points, count(DISTINCT (round_even(y, 0), round_even(x, 0))) AS unique_xy_cells, round(sqrt(power(arg_max(x, event_id) - arg_min(x, event_id), 2) + power(arg_max(y, event_id) - arg_min(y, event_id), 2)), 6) AS displacement FROM track GROUP BY 1""")
+def net_displacement(spark, sf_dir):
+    return polyline.net_displacement(track(spark, sf_dir), "user_id", "event_id").withColumn("displacement", r(F.col("displacement")))
+
+
+@query("SELECT c_mktsegment AS bucket, count(*) AS streamlines, sum(c_nationkey)::BIGINT AS segments FROM customer GROUP BY 1")
+def bucket_totals(spark, sf_dir):
+    return polyline.bucket_totals(t(spark, sf_dir, "customer").withColumnRenamed("c_mktsegment", "bucket"), "bucket", "c_nationkey")
+
+
+# quotas and selection --------------------------------------------------------------------------------------------
+
+@query("""WITH b AS (SELECT n_nationkey AS idx, count(*) / (SELECT count(*) FROM customer)::DOUBLE AS f FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1), x AS (SELECT idx, floor(f * 1000) AS base, f * 1000 - floor(f * 1000) AS rest FROM b)
+SELECT idx, CAST(base + CASE WHEN row_number() OVER (ORDER BY rest DESC, idx DESC) <= 1000 - sum(base) OVER () THEN 1 ELSE 0 END AS BIGINT) AS slots FROM x""")
+def bucket_quota(spark, sf_dir):
+    c = t(spark, sf_dir, "customer")
+    b = c.groupBy(F.col("c_nationkey").alias("idx")).agg((F.count("*") / F.lit(float(c.count()))).alias("fraction"))
+    return select.bucket_targets(b, 1000).select("idx", F.col("slots").cast("long").alias("slots"))
+
+
+@query("""WITH b AS (SELECT c_nationkey AS idx, CAST(greatest(0, count(*) - 3) AS DOUBLE) AS w FROM customer GROUP BY 1), p AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN w > 0 THEN w END DESC NULLS LAST, idx) AS h, count(*) FILTER (WHERE w > 0) OVER () AS n, sum(w) OVER () AS s FROM b),
+x AS (SELECT *, CASE WHEN w > 0 AND h <= 300 THEN 1 ELSE 0 END AS first, greatest(0, 300 - n) AS t FROM p), y AS (SELECT *, CASE WHEN w > 0 THEN w / s * t ELSE 0 END AS raw FROM x), z AS (SELECT *, floor(raw) AS base, CASE WHEN w > 0 THEN raw - floor(raw) END AS rest FROM y)
+SELECT idx, CAST(first + base + CASE WHEN w > 0 AND row_number() OVER (ORDER BY rest DESC NULLS LAST, idx) <= t - sum(base) OVER () THEN 1 ELSE 0 END AS BIGINT) AS slots FROM z""")
+def weighted_quota(spark, sf_dir):
+    b = t(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("idx")).agg(F.greatest(F.lit(0), F.count("*") - 3).cast("double").alias("weight"))
+    return select.weighted_targets(b, 300).select("idx", F.col("slots").cast("long").alias("slots"))
+
+
+CAND = "cand AS (SELECT l_orderkey * 8 + l_linenumber AS cand_id, l_suppkey % 40 AS row, l_partkey % 40 AS col, l_quantity AS segments FROM lineitem)"
+
+
+def candidates(spark, sf_dir):
+    li = t(spark, sf_dir, "lineitem")
+    c = li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("cand_id"), (F.col("l_suppkey") % 40).alias("row"), (F.col("l_partkey") % 40).alias("col"), F.col("l_quantity").alias("segments"), F.col("l_returnflag").alias("bucket"), F.col("l_extendedprice").alias("depth"))
+    return spatial.bins(c, 8)
+
+
+@query(f"WITH {CAND} SELECT cand_id, row // 8 AS bin_row, col // 8 AS bin_col, row_number() OVER (PARTITION BY row // 8, col // 8 ORDER BY segments DESC, cand_id) AS rank FROM cand")
+def rank_in_bin(spark, sf_dir):
+    return spatial.ranked_in_bin(candidates(spark, sf_dir), [F.desc("segments"), F.asc("cand_id")]).select("cand_id", "bin_row", "bin_col", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"WITH {CAND}, x AS (SELECT cand_id, row // 8 AS a, col // 8 AS b, row_number() OVER (PARTITION BY row // 8, col // 8 ORDER BY segments DESC, cand_id) AS k FROM cand) SELECT cand_id FROM x ORDER BY k, a * 100 + b LIMIT 130")
+def round_robin_topk(spark, sf_dir):
+    c = candidates(spark, sf_dir)
+    return select.round_robin(c, [F.desc("segments"), F.asc("cand_id")], 130, F.col("bin_row") * 100 + F.col("bin_col")).select("cand_id")
+
+
+@query()
+def quota_selection(spark, sf_dir):
+    c = candidates(spark, sf_dir).withColumns({"second": F.col("depth"), "front": F.col("row") < 8, "sector": geometry.sector(F.col("col") - 19.5, F.col("row") - 19.5)})
+    return select.select_separated(c, {"A": 60, "N": 60, "R": 60}, separation=5000.0)
+
+
+@query()
+def poisson_disk_sample(spark, sf_dir):
+    return spatial.poisson_disk(mask_cells(spark, sf_dir), 4, 7)
+
+
+@query()
+def block_scatter_sample(spark, sf_dir):
+    return spatial.scattered(field(spark, sf_dir), 200, 10_000, "n", 7)
+
+
+# interpolation ---------------------------------------------------------------------------------------------------
+
+PROFILE = """prof AS (SELECT l_partkey, list(l_quantity ORDER BY l_quantity) AS d, list(v ORDER BY l_quantity) AS v FROM (SELECT l_partkey, l_quantity, max(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2) GROUP BY 1),
+up AS (SELECT *, least(greatest(len(list_filter(d, lambda x: x {op} 25.0)), 1), len(d) - 1) AS u FROM prof)"""
+
+
+def profiles(spark, sf_dir):
+    one = t(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_quantity").agg(F.max("l_extendedprice").alias("v"))
+    p = one.groupBy("l_partkey").agg(F.array_sort(F.collect_list(F.struct("l_quantity", "v"))).alias("p"))
+    return p.select("l_partkey", F.transform("p", lambda x: x["l_quantity"]).alias("d"), F.transform("p", lambda x: x["v"]).alias("v"))
+
+
+@query(f"""WITH {PROFILE.format(op="<")} SELECT l_partkey, CASE WHEN len(d) > 1 AND 25 >= d[1] AND 25 <= d[-1] THEN round(v[u] + (v[u + 1] - v[u]) * (25 - d[u]) / (d[u + 1] - d[u]), 8) END AS v FROM up""")
+def profile_interp(spark, sf_dir):
+    return profiles(spark, sf_dir).select("l_partkey", r(interp.profile(F.col("d"), F.col("v"), F.lit(25.0)), 8).alias("v"))
+
+
+@query(f"""WITH {PROFILE.format(op="<=")} SELECT l_partkey, CASE WHEN len(d) > 1 AND 25 >= d[1] AND 25 <= d[-1] THEN CASE WHEN 25 = d[-1] THEN round(v[-1], 8) ELSE round(v[u] + (v[u + 1] - v[u]) * (25 - d[u]) / (d[u + 1] - d[u]), 8) END END AS v FROM up""")
+def profile_interp_right(spark, sf_dir):
+    return profiles(spark, sf_dir).select("l_partkey", r(interp.profile(F.col("d"), F.col("v"), F.lit(25.0), right=True), 8).alias("v"))
+
+
+@query("""WITH a AS (SELECT [0.0, 10.0, 30.0, 100.0, 300.0]::DOUBLE[] AS a), p AS (SELECT event_id, value, a, least(greatest(len(list_filter(a, lambda d: d <= value)), 1), 4) AS u FROM events, a)
+SELECT event_id, CASE WHEN value <= 300 THEN CAST(u - 1 AS INTEGER) END AS lower, CASE WHEN value <= 300 THEN CAST(u AS INTEGER) END AS upper, CASE WHEN value <= 300 THEN round((value - a[u]) / (a[u + 1] - a[u]), 6) END AS fraction FROM p""")
+def depth_axis_bracket(spark, sf_dir):
+    lo, up, f = interp.depth_bracket([0.0, 10.0, 30.0, 100.0, 300.0], F.col("value"))
+    return t(spark, sf_dir, "events").select("event_id", lo.alias("lower"), up.alias("upper"), r(f).alias("fraction"))
+
+
+BIL = f"""WITH {FIELD}, p AS (SELECT event_id, value * 0.21 AS fc, value * 0.37 % 101 AS fr FROM events), c AS (SELECT *, floor(fc) AS c0, floor(fr) AS r0, fc - floor(fc) AS tc, fr - floor(fr) AS tr FROM p),
+s AS (SELECT event_id, fc, fr, least(r0 + a.dr, 99) AS row, least(c0 + a.dc, 99) AS col, (CASE a.dc WHEN 1 THEN tc ELSE 1 - tc END) * (CASE a.dr WHEN 1 THEN tr ELSE 1 - tr END) AS w FROM c, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) a(dr, dc))"""
+
+
+def bil_points(spark, sf_dir):
+    return t(spark, sf_dir, "events").select("event_id", (F.col("value") * 0.21).alias("fc"), (F.col("value") * 0.37 % 101).alias("fr"))
+
+
+@query(f"{BIL} SELECT event_id, CASE WHEN fc <= 99 AND fr <= 99 AND count(price) = 4 THEN round(sum(w * price), 3) END AS price FROM s LEFT JOIN field USING (row, col) GROUP BY event_id, fc, fr")
+def bilinear_sample(spark, sf_dir):
+    return interp.bilinear(bil_points(spark, sf_dir), field(spark, sf_dir), "price", 100, 100, "event_id").select("event_id", r(F.col("price"), 3).alias("price"))
+
+
+@query(f"{BIL} SELECT event_id, fc < 99 AND fr < 99 AND bool_and(coalesce(n > 2, false)) AS wet FROM s LEFT JOIN field USING (row, col) GROUP BY event_id, fc, fr")
+def bilinear_mask(spark, sf_dir):
+    m = field(spark, sf_dir).select("row", "col", (F.col("n") > 2).alias("wet"))
+    return interp.bilinear_mask(bil_points(spark, sf_dir), m, "wet", 100, 100, "event_id")
+
+
+@query(f"""{BIL}, l AS (SELECT s.*, k AS level, CASE k WHEN 0 THEN 1 - event_id % 4 / 4.0 ELSE event_id % 4 / 4.0 END AS lw FROM s, range(2) g(k)), v AS (SELECT row, col, level, price * (level + 1) AS price FROM field, range(2) g(level))
+SELECT event_id, CASE WHEN fc <= 99 AND fr <= 99 AND count(price) FILTER (WHERE lw > 0) = count(*) FILTER (WHERE lw > 0) THEN round(sum(w * lw * price), 3) END AS price FROM l LEFT JOIN v USING (row, col, level) GROUP BY event_id, fc, fr""")
+def trilinear_sample(spark, sf_dir):
+    vol = field(spark, sf_dir).withColumn("level", F.explode(F.array(F.lit(0), F.lit(1)))).select("level", "row", "col", (F.col("price") * (F.col("level") + 1)).alias("price"))
+    pts = bil_points(spark, sf_dir).withColumn("depth", F.col("event_id") % 4 * 5.0)
+    return interp.trilinear(pts, vol, "price", [0.0, 20.0], 100, 100, "event_id").select("event_id", r(F.col("price"), 3).alias("price"))
+
+
+@query("""WITH x AS (SELECT p_partkey, p_retailprice AS h, -p_size * 2.0 AS zice, 0.5 AS zeta, s, c FROM part, (VALUES (-0.9, -0.8), (-0.5, -0.3), (-0.1, -0.02)) l(s, c)), z AS (SELECT *, (250 * s + h * c) / (250 + h) AS z0 FROM x)
+SELECT p_partkey, CAST(s AS DOUBLE) AS s, round(greatest(0, -(zeta + (zeta + h) * z0 + zice * (1 + z0))), 5) AS depth FROM z""")
+def depth_levels(spark, sf_dir):
+    levels = spark.createDataFrame([(-0.9, -0.8), (-0.5, -0.3), (-0.1, -0.02)], "s double, c double")
+    p = t(spark, sf_dir, "part").join(F.broadcast(levels))  # a handful of levels
+    return p.select("p_partkey", "s", r(geometry.terrain_depth(F.col("p_retailprice"), -F.col("p_size") * 2.0, F.lit(0.5), F.col("s"), F.col("c"), 250.0), 5).alias("depth"))
+
+
+@query("""WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS u, embedding[2]::DOUBLE AS v, embedding[3]::DOUBLE AS a FROM embeddings)
+SELECT vec_id, round(sqrt(u * u + v * v), 6) AS speed, round(u * cos(a) - v * sin(a), 6) AS x, round(u * sin(a) + v * cos(a), 6) AS y FROM e""")
+def rotate_vectors(spark, sf_dir):
+    u, v, a = (F.get("embedding", F.lit(k)).cast("double") for k in range(3))
+    x, y = geometry.rotate(u, v, a)
+    return t(spark, sf_dir, "embeddings").select("vec_id", r(F.hypot(u, v)).alias("speed"), r(x).alias("x"), r(y).alias("y"))
+
+
+@query("""WITH k AS (SELECT 0.08181919084262157::DOUBLE AS e, 6378137.0::DOUBLE AS a, radians(70) AS p), c AS (SELECT e, a, cos(p) / sqrt(1 - power(e * sin(p), 2)) AS m, tan(pi() / 4 - p / 2) / power((1 - e * sin(p)) / (1 + e * sin(p)), e / 2) AS t FROM k),
+q AS (SELECT c_custkey, radians(60.0 + c_custkey % 2900 / 100.0) AS phi, radians(c_nationkey * 14.0 - 180.0) + radians(45) AS lam FROM customer), s AS (SELECT q.*, a * m / t * tan(pi() / 4 - phi / 2) / power((1 - e * sin(phi)) / (1 + e * sin(phi)), e / 2) AS rho FROM q, c)
+SELECT c_custkey, round(rho * sin(lam), 2) AS x, round(-rho * cos(lam), 2) AS y FROM s""")
+def project_polar(spark, sf_dir):
+    x, y = geometry.polar_stereographic(F.lit(60.0) + F.col("c_custkey") % 2900 / 100.0, F.col("c_nationkey") * 14.0 - 180.0)
+    return t(spark, sf_dir, "customer").select("c_custkey", r(x, 2).alias("x"), r(y, 2).alias("y"))
+
+
+@query("""WITH p AS (SELECT c_custkey, radians(c_custkey % 90) AS p FROM customer) SELECT c_custkey, round(111132.92 - 559.82 * cos(2 * p) + 1.175 * cos(4 * p) - 0.0023 * cos(6 * p), 4) AS lat_m, round(111412.84 * cos(p) - 93.5 * cos(3 * p) + 0.118 * cos(5 * p), 4) AS lon_m FROM p""")
+def metres_per_degree(spark, sf_dir):
+    lat = F.col("c_custkey") % 90
+    return t(spark, sf_dir, "customer").select("c_custkey", r(geometry.metres_per_degree_lat(lat), 4).alias("lat_m"), r(geometry.metres_per_degree_lon(lat), 4).alias("lon_m"))
+
+
+# masks -----------------------------------------------------------------------------------------------------------
+
+@query(f"WITH {MASK} SELECT row // 8 AS bin_row, col // 8 AS bin_col, count(*) AS n FROM mask GROUP BY 1, 2")
+def spatial_bins(spark, sf_dir):
+    return spatial.bins(mask_cells(spark, sf_dir), 8).groupBy("bin_row", "bin_col").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {SPARSE} SELECT DISTINCT m.row + a.i AS row, m.col + b.i AS col FROM sparse m, range(-2, 3) a(i), range(-2, 3) b(i) WHERE m.row + a.i BETWEEN 0 AND 39 AND m.col + b.i BETWEEN 0 AND 39")
+def dilate_mask(spark, sf_dir):
+    return spatial.dilate(sparse_cells(spark, sf_dir), 2, 40, 40)
+
+
+WATER = "water AS (SELECT DISTINCT l_suppkey % 40 AS row, l_partkey % 40 AS col FROM lineitem WHERE l_quantity < 20)"
+
+
+def water_cells(spark, sf_dir):
+    return t(spark, sf_dir, "lineitem").where("l_quantity < 20").select((F.col("l_suppkey") % 40).alias("row"), (F.col("l_partkey") % 40).alias("col")).distinct()
+
+
+NEAR = "near AS (SELECT DISTINCT m.row + a.i AS row, m.col + b.i AS col FROM sparse m, range(-2, 3) a(i), range(-2, 3) b(i))"
+
+
+@query(f"WITH {SPARSE}, {WATER}, {NEAR} SELECT row, col FROM sparse UNION SELECT row, col FROM water SEMI JOIN near USING (row, col)")
+def margin_band(spark, sf_dir):
+    return spatial.margin(sparse_cells(spark, sf_dir), water_cells(spark, sf_dir), 50_000, 30_000, 40, 40)
+
+
+@query(f"WITH {SPARSE}, {WATER}, {NEAR}, m AS (SELECT row, col FROM sparse UNION SELECT row, col FROM water SEMI JOIN near USING (row, col)) SELECT row, col FROM water ANTI JOIN m USING (row, col)")
+def remote_water(spark, sf_dir):
+    return spatial.remote(sparse_cells(spark, sf_dir), water_cells(spark, sf_dir), 40, 40, 40_000)
+
+
+@query(f"WITH {SPARSE}, {WATER}, {NEAR} SELECT row, col FROM water SEMI JOIN near USING (row, col)")
+def front_cells(spark, sf_dir):
+    return spatial.front(water_cells(spark, sf_dir), sparse_cells(spark, sf_dir), 2, 40, 40)
+
+
+@query(f"""WITH RECURSIVE {SPARSE}, ids AS (SELECT row, col, row * 40 + col AS id FROM sparse), reach AS (SELECT id AS root, row, col FROM ids UNION SELECT r.root, i.row, i.col FROM reach r JOIN ids i ON i.row BETWEEN r.row - 1 AND r.row + 1 AND i.col BETWEEN r.col - 1 AND r.col + 1)
+SELECT row, col, min(root) AS component FROM reach GROUP BY 1, 2""")
+def connected_component(spark, sf_dir):
+    return spatial.components(sparse_cells(spark, sf_dir), 40)
+
+
+@query(f"""WITH {SPARSE}, {WATER}, a AS (SELECT row, col FROM sparse), u AS (SELECT * FROM a UNION SELECT * FROM water)
+SELECT row, col, (row, col) IN (SELECT (row, col) FROM a) AS first, (row, col) IN (SELECT (row, col) FROM water) AS second FROM u""")
+def mask_algebra(spark, sf_dir):
+    a, b = (f(spark, sf_dir).withColumn(n, F.lit(True)) for f, n in ((sparse_cells, "first"), (water_cells, "second")))
+    out = a.join(b, ["row", "col"], "full")
+    return out.select("row", "col", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("first", "second")))
+
+
+@query("SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1")
+def component_concat(spark, sf_dir):
+    li = t(spark, sf_dir, "lineitem")
+    return package.combine(*(li.where(F.col("l_returnflag") == f) for f in "ANR")).groupBy("l_returnflag").agg(F.count("*").alias("n"))
+
+
+# drawing ---------------------------------------------------------------------------------------------------------
+
+VERTS = f"""WITH {FIELD}, v AS (SELECT row // 2 AS vr, col // 2 AS vc, row // 2 * 50 + col // 2 AS id, n > 3 AS ok FROM field WHERE row % 2 = 0 AND col % 2 = 0)"""
+
+
+@query(f"""{VERTS}, q AS (SELECT a.vr, a.vc, b.ok AS k1, c.ok AS k2, a.ok AS k0, d.ok AS k3, a.id AS v0, b.id AS v1, c.id AS v2, d.id AS v3 FROM (SELECT vr, vc FROM v UNION SELECT vr, vc - 1 FROM v) z LEFT JOIN v a USING (vr, vc) LEFT JOIN v b ON b.vr = z.vr AND b.vc = z.vc + 1 LEFT JOIN v c ON c.vr = z.vr + 1 AND c.vc = z.vc LEFT JOIN v d ON d.vr = z.vr + 1 AND d.vc = z.vc + 1)
+SELECT v0 // 50 AS vr, v0 % 50 AS vc, 0 AS half, v0 AS a, v2 AS b, v1 AS c FROM q WHERE k0 AND k1 AND k2 UNION ALL SELECT v1 // 50, v1 % 50 - 1, 1, v1, v2, v3 FROM q WHERE k1 AND k2 AND k3""")
+def grid_mesh_triangles(spark, sf_dir):
+    v = mesh.vertices(field(spark, sf_dir), 2, 100, 100).withColumn("ok", F.col("n") > 3)
+    return mesh.triangles(v, "ok")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, o_custkey % 100 AS x0, 1.0 AS y0, o_orderkey % 90 AS z0, o_custkey % 37 AS x1, 2.0 AS y1, o_orderkey % 41 AS z1, o_totalprice / 5000 AS q FROM orders),
+h AS (SELECT *, sqrt(power(x1 - x0, 2) + power(z1 - z0, 2)) AS len, (1500 + 3500 * (log10(least(100, greatest(0.001, q))) + 3) / 5) / 20000 / 2 AS w FROM o WHERE q > 0),
+n AS (SELECT *, -(z1 - z0) / len * w AS nx, (x1 - x0) / len * w AS nz FROM h WHERE len > 1e-9)
+SELECT id, k AS vertex, round(CASE WHEN k IN (0, 2, 3) THEN x0 ELSE x1 END + s * nx, 5) AS x, CAST(CASE WHEN k IN (0, 2, 3) THEN y0 ELSE y1 END AS DOUBLE) AS y, round(CASE WHEN k IN (0, 2, 3) THEN z0 ELSE z1 END + s * nz, 5) AS z FROM n, (VALUES (0, 1), (1, 1), (2, -1), (3, -1), (4, 1), (5, -1)) v(k, s)""")
+def ribbon_vertices(spark, sf_dir):
+    o, d = t(spark, sf_dir, "orders"), lambda c: c.cast("double")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    ch = o.select(k.alias("id"), d(c % 100).alias("x0"), F.lit(1.0).alias("y0"), d(k % 90).alias("z0"), d(c % 37).alias("x1"), F.lit(2.0).alias("y1"), d(k % 41).alias("z1"), (F.col("o_totalprice") / 5000).alias("q"))
+    return mesh.ribbons(ch, 10_000 * 2.0).select("id", "vertex", r(F.col("x"), 5).alias("x"), "y", r(F.col("z"), 5).alias("z"))
+
+
+@query("""WITH s AS (SELECT o_orderkey AS seg_id, o_custkey % 10 AS x0, 0.0 AS y0, o_orderkey % 9 AS z0, o_custkey % 7 AS x1, 1.0 AS y1, o_orderkey % 4 AS z1 FROM orders WHERE o_orderstatus = 'F'), d AS (SELECT *, x1 - x0 AS dx, y1 - y0 AS dy, z1 - z0 AS dz, sqrt(power(x1 - x0, 2) + 1 + power(z1 - z0, 2)) AS len FROM s),
+h AS (SELECT *, least(1.0, greatest(0.16, len * 0.4)) AS hd, sqrt(dx * dx + dz * dz) AS f FROM d)
+SELECT seg_id, side, round(x1 - dx / len * hd + side * CASE WHEN f > 0 THEN -dz / greatest(f, 1e-12) ELSE 0 END * hd * 0.65, 5) AS hx, round(z1 - dz / len * hd + side * CASE WHEN f > 0 THEN dx / greatest(f, 1e-12) ELSE -1 END * hd * 0.65, 5) AS hz FROM h, (VALUES (1), (-1)) v(side)""")
+def arrow_heads(spark, sf_dir):
+    o, d = t(spark, sf_dir, "orders"), lambda c: c.cast("double")
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    s = o.select(k.alias("seg_id"), d(c % 10).alias("x0"), F.lit(0.0).alias("y0"), d(k % 9).alias("z0"), d(c % 7).alias("x1"), F.lit(1.0).alias("y1"), d(k % 4).alias("z1"), (F.col("o_orderstatus") == "F").cast("int").alias("terminal_flag"))
+    return mesh.arrows(s).select("seg_id", "side", r(F.col("hx"), 5).alias("hx"), r(F.col("hz"), 5).alias("hz"))
+
+
+@query()
+def velocity_layer(spark, sf_dir):
+    f = field(spark, sf_dir).withColumn("cell_id", F.col("row") * 100 + F.col("col"))
+    base = f.select("cell_id", "row", "col", (F.col("n") % 5).alias("mask"), (-F.col("low")).alias("bed"), F.col("low").alias("surface"))
+    verts, _ = layers.surface_layer(base, f.select("cell_id", (F.col("price") / 50).alias("vx"), F.col("low").alias("vy")), "velocity", 2, 100, 100)
+    return verts.select("vertex", "valid", "height", "colour")
+
+
+@query("""WITH x AS (SELECT event_id, ln(1 + value / 20) / ln(1 + 150) AS v, ln(1 + least(0.3, value / 1000) / 0.015) / ln(1 + 20) AS f, (log10(least(100, greatest(0.001, value))) + 3) / 5 AS q FROM events)
+SELECT event_id, round(v, 6) AS velocity, round(f, 6) AS friction, round(q, 6) AS discharge FROM x""")
+def log_color_scale(spark, sf_dir):
+    v = F.col("value")
+    return t(spark, sf_dir, "events").select("event_id", r(palette.velocity_scale(v)).alias("velocity"), r(palette.friction_scale(v / 1000)).alias("friction"), r(palette.discharge_scale(v)).alias("discharge"))
+
+
+STOPS = [(0.0, (255, 0, 0)), (0.25, (0, 128, 64)), (1.0, (10, 20, 250))]
+
+
+@query("""WITH x AS (SELECT event_id, value / 490.02 AS t FROM events), y AS (SELECT *, CASE WHEN t < 0.25 THEN t / 0.25 ELSE least(1, (t - 0.25) / 0.75) END AS f FROM x)
+SELECT event_id, CAST(round_even(CASE WHEN t < 0.25 THEN 255 - 255 * f ELSE 10 * f END, 0) AS INTEGER) AS red, CAST(round_even(CASE WHEN t < 0.25 THEN 128 * f ELSE 128 - 108 * f END, 0) AS INTEGER) AS green FROM y""")
+def palette_interp(spark, sf_dir):
+    c = palette.palette(F.col("value") / 490.02, STOPS)
+    return t(spark, sf_dir, "events").select("event_id", c[0].alias("red"), c[1].alias("green"))
+
+
+@query("""WITH x AS (SELECT event_id, least(1, greatest(0, (value / 50 + 2) / 10)) AS a, least(1, greatest(0, (event_id % 10 + 28 - 30) / 5.0)) AS b FROM events), y AS (SELECT *, 0.022 + a * 0.018 AS s FROM x)
+SELECT event_id, round(least(1, (0.23 + (0.99 - 0.23) * a) * b + 0.0 + s), 6) AS red, round(least(1, ((0.87 + (0.76 - 0.87) * a) + ((0.11 + (0.28 - 0.11) * a) - (0.87 + (0.76 - 0.87) * a)) * b) + s * 0.65), 6) AS green FROM y""")
+def ocean_colour(spark, sf_dir):
+    c = palette.ocean_colour(F.col("value") / 50, (F.col("event_id") % 10 + 28).cast("double"))
+    return t(spark, sf_dir, "events").select("event_id", r(c[0]).alias("red"), r(c[1]).alias("green"))
+
+
+@query("SELECT event_id, CAST(16 * (event_id % 16) + 15 AS INTEGER) AS red, 171 AS green, CAST(event_id % 16 AS INTEGER) AS blue FROM events")
+def hex_colours(spark, sf_dir):
+    c = palette.hex_rgb(F.concat(F.lit("#"), F.lower(F.hex(F.col("event_id") % 16)), F.lit("fab0"), F.lower(F.hex(F.col("event_id") % 16))))
+    return t(spark, sf_dir, "events").select("event_id", c[0].alias("red"), c[1].alias("green"), c[2].alias("blue"))
+
+
+# text ------------------------------------------------------------------------------------------------------------
+
+@query("SELECT n_nationkey, string_agg(i || '=' || w, ';' ORDER BY i) AS flags FROM (SELECT n_nationkey, unnest(range(0, 2)) AS i, string_split('no_' || n_name || ' has_' || n_name, ' ')[unnest(range(1, 3))] AS w FROM nation) GROUP BY 1")
+def flag_dictionary(spark, sf_dir):
+    n = t(spark, sf_dir, "nation")
+    m = text.flag_dictionary(F.array(F.lit(0), F.lit(1)), F.concat(F.lit("no_"), F.replace("n_name", F.lit(" "), F.lit("_")), F.lit("  has_"), F.replace("n_name", F.lit(" "), F.lit("_"))))
+    return n.select("n_nationkey", F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("flags"))
+
+
+@query("SELECT event_id, coalesce(json_extract_string(props, '$.k'), 'none') AS k, coalesce(json_extract_string(props, '$.missing'), 'default') AS missing FROM events")
+def json_metadata(spark, sf_dir):
+    p = F.from_json("props", "k string, missing string")
+    return t(spark, sf_dir, "events").select("event_id", F.coalesce(p["k"], F.lit("none")).alias("k"), F.coalesce(p["missing"], F.lit("default")).alias("missing"))
+
+
+@query("""WITH m AS (SELECT o_orderkey, CAST(greatest(0, floor(o_totalprice * 100 - 500000 + 0.5)) AS BIGINT) AS ms FROM orders)
+SELECT o_orderkey, printf('%02d:%02d:%02d,%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS at FROM m""")
+def srt_timestamp(spark, sf_dir):
+    return t(spark, sf_dir, "orders").select("o_orderkey", text.srt_time(F.col("o_totalprice") * 100 - 500000).alias("at"))
+
+
+@query("""SELECT o_orderkey, 'ocean_yr' || o_custkey % 9 || CASE WHEN o_orderkey % 2 = 0 THEN '_annual' ELSE '' END AS base, CASE WHEN o_orderkey % 2 = 0 THEN 'Year ' || o_custkey % 9 || ' annual mean' ELSE 'instant' END AS label FROM orders""")
+def basename_regex(spark, sf_dir):
+    path = F.concat(F.lit("/data/Model_YR"), (F.col("o_custkey") % 9).cast("string"), F.when(F.col("o_orderkey") % 2 == 0, F.lit("_Annual.nc")).otherwise(F.lit(".nc")))
+    return t(spark, sf_dir, "orders").select("o_orderkey", text.default_basename(path, "ocean").alias("base"), text.time_label(F.lower(path), F.lit("instant")).alias("label"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS iso, strftime(o_orderdate, '%Y%m') AS month, strftime(TIMESTAMP '2000-01-01' + INTERVAL 1 HOUR * (o_custkey % 5000), '%Y-%m-%dT%H:%M:%SZ') AS model FROM orders")
+def time_text(spark, sf_dir):
+    o = t(spark, sf_dir, "orders")
+    model = text.model_time(F.col("o_custkey") % 5000, F.lit("hours since 2000-01-01 00:00:00"))
+    return o.select("o_orderkey", text.iso_instant(F.unix_timestamp("o_orderdate")).alias("iso"), text.month_stamp(F.col("o_orderdate")).alias("month"), F.date_format(model, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("model"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_nationkey % 3 = 0 THEN c_name WHEN c_nationkey % 3 = 1 THEN 'North' ELSE 'XX' END AS name FROM customer""")
+def region_names(spark, sf_dir):
+    k = F.col("c_nationkey") % 3
+    return t(spark, sf_dir, "customer").select("c_custkey", text.region_name(F.when(k == 0, F.concat(F.lit(" "), "c_name", F.lit(" "))).otherwise(F.lit("  ")), F.when(k == 1, "NO").otherwise("XX")).alias("name"))
+
+
+@query("""WITH x AS (SELECT event_id, value / 490.02 AS t FROM events) SELECT event_id, round(CASE event_id % 4 WHEN 0 THEN CASE WHEN t < 0.5 THEN 4 * t * t * t ELSE 1 - power(-2 * t + 2, 3) / 2 END WHEN 1 THEN CASE WHEN t < 0.5 THEN 2 * t * t ELSE 1 - power(-2 * t + 2, 2) / 2 END WHEN 2 THEN 1 - power(1 - t, 3) ELSE t END, 6) AS eased FROM x""")
+def easing(spark, sf_dir):
+    kind = F.element_at(F.array(*map(F.lit, ("easeInOutCubic", "easeInOutQuad", "easeOutCubic", "linear"))), (F.col("event_id") % 4 + 1).cast("int"))
+    return t(spark, sf_dir, "events").select("event_id", r(text.ease(F.col("value") / 490.02, kind)).alias("eased"))
+
+
+@query("SELECT o_orderkey, 'http://h.example/?scene=' || o_custkey AS url, '/a/' || o_custkey AS route, CASE WHEN o_orderkey % 2 = 0 THEN 'zh-CN' ELSE 'en-US' END AS locale, 'order ' || o_orderkey || ' of ' AS said FROM orders")
+def url_and_messages(spark, sf_dir):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    return t(spark, sf_dir, "orders").select("o_orderkey", text.with_query(F.lit("http://h.example//"), ("scene", c)).alias("url"), text.route(F.concat(F.lit("/a/"), c, F.lit("/"))).alias("route"), text.locale(F.when(k % 2 == 0, F.lit(" zh_CN")).otherwise(F.lit("fr"))).alias("locale"), text.filled(F.lit("order {n} of {who}"), n=k).alias("said"))
+
+
+# tracing ---------------------------------------------------------------------------------------------------------
+
+@query()
+def particle_trace(spark, sf_dir):
+    import numpy as np
+
+    n = 81
+    y, x = np.mgrid[0:n, 0:n].astype(float)
+    whirl = {"u": np.stack([-(y - 40)] * 3), "v": np.stack([x - 40] * 3), "w": np.zeros((3, n, n)), "theta": np.stack([x] * 3), "sal": np.stack([y] * 3)}
+    vol = trace.Volume(np.array([0.0, 100.0, 400.0]), whirl, np.zeros((n, n)), np.full((n, n), 400.0), np.ones((n, n), bool), bilinear=True)
+    seeds = t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("seed_id"), (F.lit(42.0) + F.col("s_suppkey") % 30).alias("x"), F.lit(40.0).alias("y"), (F.col("s_suppkey") % 300 + 30.0).alias("depth"))
+    got = trace.streamlines(seeds, vol, steps=60, step=0.25)
+    return got.select("seed_id", "segment_count", "unique_xy_cells", r(F.col("displacement"), 4).alias("displacement"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN 10 + 5.0 * (s_suppkey % 30) > 40 THEN greatest(20, 0.1 * (10 + 5.0 * (s_suppkey % 30)))::DOUBLE END AS low, CASE WHEN 10 + 5.0 * (s_suppkey % 30) > 40 THEN least(10 + 5.0 * (s_suppkey % 30) - 20, 0.9 * (10 + 5.0 * (s_suppkey % 30)))::DOUBLE END AS high FROM supplier""")
+def seed_depth_window(spark, sf_dir):
+    a, b = trace.depth_window(F.lit(0.0), F.lit(10.0) + 5.0 * (F.col("s_suppkey") % 30), 0.1, 0.9)
+    return t(spark, sf_dir, "supplier").select("s_suppkey", r(a).alias("low"), r(b).alias("high"))
+
+
+@query("""WITH c AS (SELECT user_id, event_id AS draw, value AS depth, CASE WHEN event_type = 'error' THEN NULL ELSE value END AS speed FROM events)
+SELECT user_id, arg_max(depth, speed * 1000000 - draw) AS depth, max(speed) AS speed FROM c WHERE speed IS NOT NULL GROUP BY 1""")
+def seed_depth_choice(spark, sf_dir):
+    e = t(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("draw"), F.col("value").alias("depth"), F.when(F.col("event_type") != "error", F.col("value")).alias("speed"), F.lit(False).alias("proxy"))
+    return trace.chosen_depth(e, "user_id", "fastest_valid")
