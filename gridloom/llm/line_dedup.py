@@ -40,7 +40,8 @@ def boilerplate(docs: DataFrame, site_col: str, text_col: str, min_sites: int) -
         .where(F.col("estimate") >= min_sites - margin))
     sure = spread.where(F.col("estimate") > min_sites + margin).select("h1", "h2")
     near = spread.where(F.col("estimate") <= min_sites + margin).select("h1", "h2")
-    pairs = rows.join(near, ["h1", "h2"], "left_semi").groupBy("h1", "h2", "site").agg(F.count("*").alias("n"))
+    # a frequent line's rows are one a site before they are dealt by line
+    pairs = rows.groupBy("h1", "h2", "site").agg(F.count("*").alias("n")).join(near, ["h1", "h2"], "left_semi")
     exact = pairs.groupBy("h1", "h2").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
     return sure.union(exact.select("h1", "h2"))
 
