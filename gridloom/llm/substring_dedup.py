@@ -60,21 +60,19 @@ def picks(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def anchor_rows(docs: DataFrame, window: int, prefix: int) -> DataFrame:
-    """(gram, doc_id, whole): the distinct anchors of each document; whole is a hash of its text."""
+    """(gram, doc_id): the distinct anchors of each document."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, "text"):
-            ids, found, whole = [], [], []
+            ids, found = [], []
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 h = grams(word_list(text), prefix)
                 g = np.unique(h[np.unique(picks(h, window - prefix + 1))])
                 found.append(g)
                 ids.append(np.full(len(g), i, np.int64))
-                whole.append(np.full(len(g), xxhash.xxh3_64_intdigest(text.encode()), np.uint64))
             if found:
-                columns = np.concatenate(found).view(np.int64), np.concatenate(ids), np.concatenate(whole).view(np.int64)
-                yield pa.record_batch([pa.array(c) for c in columns], names=["gram", "doc_id", "whole"])
+                yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(ids))], names=["gram", "doc_id"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "gram long, doc_id long, whole long")
+    return docs.select("doc_id", "text").mapInArrow(run, "gram long, doc_id long")
 
 
 def segments(docs: DataFrame, window: int, prefix: int) -> DataFrame:
@@ -195,12 +193,12 @@ def repeated_passages(
     heads = sha.groupBy("sha").agg(F.min("doc_id").alias("head"))
     copies = durable(sha.join(heads, "sha").where("head < doc_id").select("doc_id").distinct())
 
-    anchors = anchor_rows(solid, window, prefix)
-    live = (anchors.groupBy("gram").agg(F.min("whole").alias("a"), F.max("whole").alias("b"), F.count("*").alias("n"))
-            .where("a <> b").select("gram", (F.col("n") > group).alias("hot")))
-    mine = anchors.select("gram", "doc_id").join(live, "gram").groupBy("doc_id").agg(F.collect_list(F.struct("gram", "hot")).alias("live"))
-    # both kinds of group and the last join read the texts from one exchange by doc_id
-    segs = segments(solid.join(mine.join(copies, "doc_id", "left_anti"), "doc_id"), window, prefix)
+    # every reader of the texts takes them from one exchange by doc_id
+    single = solid.join(copies, "doc_id", "left_anti")
+    anchors = anchor_rows(single, window, prefix)
+    live = anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", (F.col("n") > group).alias("hot"))
+    mine = anchors.join(live, "gram").groupBy("doc_id").agg(F.collect_list(F.struct("gram", "hot")).alias("live"))
+    segs = segments(single.join(mine, "doc_id"), window, prefix)
     marks = tree_marks(segs, window).union(node_marks(segs, window)).groupBy("doc_id").agg(F.collect_list("pos").alias("marks"))
     facts = marks.select("doc_id", "marks", F.lit(False).alias("copy")).union(copies.select("doc_id", F.lit(None).cast("array<int>"), F.lit(True)))
     dealt = solid.join(facts.groupBy("doc_id").agg(F.first("marks", True).alias("marks"), F.max("copy").alias("copy")), "doc_id", "left")
