@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Upper-case to lower-case for A-Z alone and every separator to a blank: one C-level pass gives the words
 #: ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` of UTF-8 text.
 WORD_TABLE = bytes(
@@ -49,7 +51,7 @@ def text_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 2 <
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -165,7 +165,9 @@ def train(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: st
     chance = F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     spot = F.pmod(F.xxhash64(F.col(id_col), F.lit("spot")), F.greatest(F.length(text_col) - WINDOW * WINDOWS_A_DOC, F.lit(1)))
     piece = F.substring(F.col(text_col), (spot + 1).cast("int"), F.lit(WINDOW * WINDOWS_A_DOC))
-    drawn = rows.where(chance < share[F.col(label_col)]).select(piece.alias("t"), F.col(label_col).alias("l")).collect()
+    # one row an id, so the sample is bounded whatever is repeated
+    picked = rows.where(chance < share[F.col(label_col)]).groupBy(F.col(id_col).alias("i")).agg(F.min(F.struct(piece.alias("t"), F.col(label_col).alias("l"))).alias("r"))
+    drawn = sorted(picked.select("i", "r.*").collect(), key=lambda r: (r.i, r.t))
     x, valid, label = [], [], []
     for r in drawn:
         raw = r.t.encode()

@@ -140,8 +140,10 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "do
     count = {r[0]: r[1] for r in known.groupBy("y_").count().collect()}
     share = F.coalesce(*(F.when(F.col("y_") == k, F.lit(min(1.0, sample / n))) for k, n in count.items()), F.lit(0.0))
     chance = F.pmod(F.xxhash64(F.col("i_"), F.lit("toxic")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = known.where(chance < share)
-    rows = docs.join(drawn, docs[id_col] == F.col("i_")).where(F.col(text_col).isNotNull()).select("i_", F.col(text_col).alias("t"), "y_").collect()
+    # one row an id, so the sample is bounded whatever is repeated; that makes it small enough to broadcast
+    drawn = known.where(chance < share).groupBy("i_").agg(F.max("y_").alias("y_"))
+    found = docs.select(docs[id_col].alias("d_"), F.col(text_col).alias("t")).join(F.broadcast(drawn), F.col("d_") == F.col("i_"))
+    rows = found.where("t is not null").groupBy("i_", "y_").agg(F.min("t").alias("t")).collect()
     rows.sort(key=lambda x: (x.i_, x.t))
     prior = 1 - count.get(0, 0) / max(1, sum(count.values()))
     return fit([x.t for x in rows], [int(x.y_ != 0) for x in rows], penalty, prior=prior)
