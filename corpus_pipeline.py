@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from gridloom.llm import bpe, decontaminate, language_id, line_dedup, simhash
 from gridloom.llm.common import table
 from gridloom.llm.queries import remainder, vocabulary
+from gridloom.shipping import ship
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: no letters, or no language with a clear share of the bytes."""
+    ship(spark)  # the workers need this library's code from here on
     return language_id.reject_unknown(docs, language_id.train(docs, remainder(3) != 1))
 
 
