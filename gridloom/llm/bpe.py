@@ -2,14 +2,15 @@
 
 The words that a batch brings for the first time are laid out as one chain of symbols; an index maps every
 adjacent pair to all its places in the chain. A heap gives the active merge ranks in ascending order; applying
-a rank visits its places from left to right, joins the pairs that still stand there and updates the lists of
-the pairs around them. A pair of lower rank that a join creates is applied before the rest of the current one,
-as the one-word-at-a-time rule would have it. Words known from before come from a bounded cache.
+a rank joins the pairs that still stand at its places, all at once, and updates the lists of the pairs around
+them. Where places overlap (a symbol twice), or in a vocabulary whose joins may call for an earlier rank, they
+go from left to right, and an earlier rank comes before the rest, as the one-word-at-a-time rule would have it. Words known from before come from a bounded cache.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import text_slices
 
 CACHE = 1 << 18  # words that a worker remembers at most
-WHITE = regex.compile("[\t-\r \x85\xa0  -     　]+")
+BATCH = 6 << 20  # bytes of text whose new words are merged together
 
 
 def byte_alphabet() -> list[str]:
@@ -52,109 +53,133 @@ class Bpe:
         for rank, (a, b) in enumerate(model["merges"]):
             self.merges[self.ids[a], self.ids[b]] = rank, self.ids[a + b]
         self.pair = [*self.merges]
+        self.joined = np.array([self.merges[p][1] for p in self.pair])
+        # pairs by number, for lookups of many at once
+        code = np.array([a * self.WIDE + b for a, b in self.pair])
+        self.by_code = np.argsort(code)
+        self.codes = code[self.by_code]
+        # a symbol appears after the rank that makes it; only then may a rank's places be joined all at once
+        made: dict[int, int] = {}
+        for rank, new in enumerate(self.joined.tolist()):
+            made[new] = max(rank, made.get(new, -1))
+        self.ordered = all(max(made.get(a, -1), made.get(b, -1)) < rank for rank, (a, b) in enumerate(self.pair))
         self.inner = np.array([self.ids[c] for c in self.alphabet])
         self.final = np.array([self.ids[c + self.end] for c in self.alphabet])
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.forget()
+
+    WIDE = 1 << 20
+
+    def forget(self) -> None:
+        """An empty cache: the number of each known word, and by number its ids in one array."""
+        self.known: dict[str, int] = {}
+        self.flat, self.first, self.count = (np.zeros(0, np.int64) for _ in range(3))
 
     def words(self, text: str) -> list[str]:
-        """A text's special strings and pattern matches, in order."""
+        """A text's special strings and pattern matches, in order. White space never is in a match, so how much
+        and which makes no difference."""
         out: list[str] = []
         for part in self.cut.split(text) if any(s in text for s in self.special) else [text]:
             if part in self.special:
                 out.append(part)
             else:
-                low = WHITE.sub(" ", unicodedata.normalize("NFC", part))
+                low = unicodedata.normalize("NFC", part)
                 # lower case letter by letter: the library has no rule for a sigma at a word's end
                 low = "".join(c.lower() for c in low) if "Σ" in low else low.lower()
                 out += self.pattern.findall(low)
         return out
 
-    def merge(self, words: list[str]) -> list[tuple[int, ...]]:
-        """The ids of distinct words, all merged together through the pair occurrence index."""
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols; -1 for none, or if one is no symbol."""
+        code = left * self.WIDE + right
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where((self.codes[at] == code) & (left >= 0) & (right >= 0), self.by_code[at], -1)
+
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids a word) of distinct words, all merged together through the pair occurrence index."""
         raw = [w.encode() for w in words]
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         ends = np.cumsum(size + 1) - 1  # of each word: a -1, which no pair reaches over
-        codes = np.full(int(ends[-1]) + 1 if len(ends) else 0, -1, np.int64)
-        inside = np.ones(len(codes), bool)
+        chain = np.full(int(ends[-1]) + 1 if len(ends) else 0, -1, np.int64)
+        inside = np.ones(len(chain), bool)
         inside[ends] = False
-        codes[inside] = self.inner[np.frombuffer(b"".join(raw), np.uint8)]
-        codes[ends - 1] = self.final[[w[-1] for w in raw]]
-        first = (ends - size).tolist()
-        chain: list[int] = codes.tolist()
-        nxt, prv = [*range(1, len(chain) + 1)], [*range(-1, len(chain) - 1)]
-        places: dict[int, list[int]] = {}
-        get = self.merges.get
-        for k, pair in enumerate(zip(chain, chain[1:], strict=False)):
-            if m := get(pair):
-                if m[0] in places:
-                    places[m[0]].append(k)
+        chain[inside] = self.inner[np.frombuffer(b"".join(raw), np.uint8)]
+        chain[ends - 1] = self.final[[w[-1] for w in raw]]
+        nxt, prv = np.arange(1, len(chain) + 1), np.arange(-1, len(chain) - 1)
+        places: dict[int, list[np.ndarray]] = {}
+        active: list[int] = []
+
+        def note(at: np.ndarray, rank: np.ndarray) -> bool:
+            """Puts places on the lists of their pairs; whether a pair is below the rank at work."""
+            live = rank >= 0
+            at, rank = at[live], rank[live]
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            cut = np.flatnonzero(rank[1:] != rank[:-1]) + 1
+            for r, part in zip(rank[np.r_[0, cut]].tolist() if len(rank) else [], np.split(at, cut), strict=False):
+                if r in places:
+                    places[r].append(part)
                 else:
-                    places[m[0]] = [k]
-        active = [*places]
-        heapq.heapify(active)
+                    places[r] = [part]
+                    heapq.heappush(active, r)
+            return bool(len(rank)) and int(rank[0]) < now
+
+        now = -1
+        note(np.arange(max(0, len(chain) - 1)), self.ranks(chain[:-1], chain[1:]))
         while active:
-            rank = heapq.heappop(active)
-            todo = places.pop(rank, None)
-            if todo is None:
-                continue
-            a, b = self.pair[rank]
-            new = self.merges[a, b][1]
-            todo.sort()
-            for n, k in enumerate(todo):
-                j = nxt[k]
-                if chain[k] != a or chain[j] != b:
+            now = heapq.heappop(active)
+            a, b = self.pair[now]
+            todo = np.unique(np.concatenate(places.pop(now)))
+            todo = todo[chain[todo] == a]
+            todo = todo[chain[nxt[todo]] == b]
+            # all at once, unless places overlap or a join may call for an earlier rank: then from left to right
+            for part in [todo] if a != b and self.ordered else todo.reshape(-1, 1):
+                part = part[(chain[part] == a) & (chain[nxt[part]] == b)]
+                if not len(part):
                     continue
-                chain[k], chain[j] = new, -2
-                nxt[k] = after = nxt[j]
-                prv[after] = k  # a word's end always follows
-                lower = False
-                if (m := get((new, chain[after]))) and m[0] != rank:
-                    if m[0] in places:
-                        places[m[0]].append(k)
-                    else:
-                        places[m[0]] = [k]
-                        heapq.heappush(active, m[0])
-                    lower = m[0] < rank
-                before = prv[k]
-                if before >= 0 and (m := get((chain[before], new))) and m[0] != rank:
-                    if m[0] in places:
-                        places[m[0]].append(before)
-                    else:
-                        places[m[0]] = [before]
-                        heapq.heappush(active, m[0])
-                    lower |= m[0] < rank
-                if lower and n + 1 < len(todo):
-                    if rank not in places:
-                        places[rank] = []
-                        heapq.heappush(active, rank)
-                    places[rank] += todo[n + 1:]
+                gone = nxt[part]
+                chain[part], chain[gone] = self.joined[now], -2
+                nxt[part] = nxt[gone]
+                prv[nxt[part]] = part  # a word's end always follows
+                before = prv[part]
+                has = before >= 0
+                near = np.concatenate([part, before[has]])
+                if note(near, self.ranks(chain[near], chain[nxt[near]])) and not self.ordered:
+                    note(todo, np.full(len(todo), now))
                     break
-        out = []
-        for k in first:
-            ids = []
-            while chain[k] != -1:
-                ids.append(chain[k])
-                k = nxt[k]
-            out.append(tuple(ids))
-        return out
+        alive = chain >= 0
+        total = np.cumsum(alive)[ends] if len(ends) else np.zeros(0, np.int64)
+        return chain[alive], np.diff(np.r_[0, total])
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets): the ids of all texts in a row, and where each text's begin and end."""
         split = [self.words(t) for t in texts]
         if len(self.known) > CACHE:
-            self.known.clear()
-        if fresh := {w for s in split for w in s if w not in self.known}:
-            special = [w for w in fresh if w in self.special]
-            plain = [*fresh.difference(special)]
-            self.known.update(zip(plain, self.merge(plain), strict=True))
-            self.known.update((w, (self.special[w],)) for w in special)
-        known = self.known
-        return [[i for w in s for i in known[w]] for s in split]
+            self.forget()
+        if fresh := sorted(set().union(*split) - self.known.keys()):
+            plain = [w for w in fresh if w not in self.special]
+            ids, count = self.merge(plain)
+            marks = [w for w in fresh if w in self.special]
+            self.known.update(zip([*plain, *marks], range(len(self.known), len(self.known) + len(fresh)), strict=True))
+            count = np.r_[count, np.ones(len(marks), np.int64)].astype(np.int64)
+            self.first = np.r_[self.first, len(self.flat) + np.cumsum(count) - count].astype(np.int64)
+            self.count = np.r_[self.count, count].astype(np.int64)
+            self.flat = np.r_[self.flat, ids, [self.special[w] for w in marks]].astype(np.int64)
+        words = np.cumsum([0, *map(len, split)])
+        number = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(split)), np.int64, words[-1])
+        n = self.count[number]
+        end = np.cumsum(n)
+        ids = self.flat[np.repeat(self.first[number] - end + n, n) + np.arange(end[-1] if len(end) else 0)]
+        return ids, np.r_[0, end][words]
 
     def decode(self, ids: Iterable[int]) -> str:
         """As a vocabulary file without a decoder gives it: the tokens, special ones too, joined by a blank."""
         tokens = self.tokens
         return " ".join([tokens[i] for i in ids])
 
+    def encoded(self, text: str) -> list[int]:
+        """The ids of one text."""
+        return self.encode([text])[0].tolist()
+
 
 @cache
 def load(path: str) -> Bpe:
@@ -167,15 +192,14 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     ``path``: a word-kind tokenizers .json file, readable on every executor; truncation, padding and added
     special tokens are not used; special strings in a text become their ids. Null and empty texts have no ids
     and decode to the empty string; null ids and repeated rows stay; an empty table gives no rows; other columns
-    are not read. Memory is bounded by about 2 MB of text, or one text, and the word cache.
+    are not read. Memory is bounded by about 6 MB of text, or one text, and the word cache.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for b in text_slices(batches, "t"):
-            ids = bpe.encode([t or "" for t in b.column("t").to_pylist()])
-            flat = pa.array(np.fromiter((i for x in ids for i in x), np.int32, sum(map(len, ids))))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), flat)
-            text = [pa.array([bpe.decode(x) for x in ids])] * decoded
+        for b in text_slices(batches, "t", BATCH):
+            ids, offsets = bpe.encode([t or "" for t in b.column("t").to_pylist()])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+            text = [pa.array([bpe.decode(ids[a:z].tolist()) for a, z in zip(offsets, offsets[1:], strict=False)], pa.string())] * decoded
             yield pa.record_batch([b.column("i"), lists, *text], names=["doc_id", "ids", "decoded"][: 2 + decoded])
 
     kept = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
