@@ -7,7 +7,8 @@
    ``group`` suffixes is extended to the full window, where its group is a single tree node.
 3. Trees. In a group, the suffixes are sorted and their longest common prefixes taken, which is the suffix tree
    in another form: a stretch whose common prefixes reach the window is a deep internal node, and the text of
-   its path is a repeat. Nodes of the long prefixes need only the least document, a map-side combined minimum.
+   its path is a repeat. A node of a long prefix may be of any size: its places are packed on the map side, and
+   stream by in order of document, so that the first has the least one.
 4. Every suffix below a deep node that also has a smaller document is marked; marks that overlap or touch join
    to the maximal repeated passages.
 
@@ -22,7 +23,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import durable, text_slices
@@ -30,6 +31,7 @@ from .common import durable, text_slices
 WINDOW = 13  # words of a repeat, at least
 PREFIX = 5  # words of a short prefix
 GROUP = 4096  # suffixes with one short prefix, at most; some MB of text
+SLICE = 8 << 20  # bytes of text whose anchors and nodes are packed together
 
 
 def word_list(text: str | None) -> list[bytes]:
@@ -60,30 +62,37 @@ def picks(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def anchor_rows(docs: DataFrame, window: int, prefix: int) -> DataFrame:
-    """(gram, doc_id): the distinct anchors of each document."""
+    """(gram, doc_id, more): the documents that each anchor stands in; a batch's documents share a row."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches, "text"):
-            ids, found = [], []
+        for b in text_slices(batches, "text", SLICE):
+            ids, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 h = grams(word_list(text), prefix)
                 g = np.unique(h[np.unique(picks(h, window - prefix + 1))])
                 found.append(g)
                 ids.append(np.full(len(g), i, np.int64))
-            if found:
-                yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(ids))], names=["gram", "doc_id"])
+            gram, doc = np.concatenate(found).view(np.int64), np.concatenate(ids)
+            order = np.argsort(gram, kind="stable")
+            gram, doc = gram[order], doc[order]
+            head = np.r_[True, gram[1:] != gram[:-1]][:len(gram)]
+            rest = np.diff(np.r_[np.flatnonzero(head), len(gram)]) - 1
+            more = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(rest)], pa.int32()), pa.array(doc[~head]))
+            yield pa.record_batch([pa.array(gram[head]), pa.array(doc[head]), more], names=["gram", "doc_id", "more"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "gram long, doc_id long")
+    return docs.select("doc_id", "text").mapInArrow(run, "gram long, doc_id long, more array<long>")
 
 
-def segments(docs: DataFrame, window: int, prefix: int) -> DataFrame:
-    """(doc_id, gram, hot, pos, lead, seg): the stretch of text around each live anchor.
+def suffixes(docs: DataFrame, window: int, prefix: int) -> DataFrame:
+    """(key, path, doc_id, pos, seg): the stretches of text around each live anchor, by prefix.
 
-    ``docs`` has live ARRAY<STRUCT<gram, hot>>. seg holds every window that picked the anchor, words joined by a
-    blank; pos is its first word, lead the anchor's place in it.
+    ``docs`` has live ARRAY<STRUCT<gram, hot>>. With a short prefix, key is the gram and seg holds every window
+    that picked the anchor, words joined by a blank, from word pos. With a full-window prefix, key and path are
+    hashes of the window and seg packs its (doc, pos) places in the batch, doc_id being the least document.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches, "text", 1 << 20):
+        for b in text_slices(batches, "text", SLICE):
             rows: list[tuple] = []
+            nodes: dict[bytes, list[int]] = {}
             for i, text, live in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("live").to_pylist(), strict=True):
                 words = word_list(text)
                 h = grams(words, prefix)
@@ -94,14 +103,21 @@ def segments(docs: DataFrame, window: int, prefix: int) -> DataFrame:
                 last = np.r_[first[1:], len(p)] - 1
                 known = {x["gram"]: x["hot"] for x in live}
                 g = h.view(np.int64)[p[first]].tolist()
-                for f, z, at, gram in zip(first.tolist(), last.tolist(), p[first].tolist(), g, strict=True):
-                    if (hot := known.get(gram)) is not None:
-                        rows.append((i, gram, hot, f, at - f, b" ".join(words[f:z + window])))
+                for f, z, gram in zip(first.tolist(), last.tolist(), g, strict=True):
+                    hot = known.get(gram)
+                    if hot is False:
+                        rows.append((gram, None, i, f, b" ".join(words[f:z + window])))
+                    elif hot:
+                        for k in range(f, z + 1):
+                            path = hashlib.blake2b(b" ".join(words[k:k + window]), digest_size=16).digest()
+                            nodes.setdefault(path, []).extend((i, k))
+            for path, places in nodes.items():
+                rows.append((int.from_bytes(path[:8], "little", signed=True), path, min(places[::2]), 0, np.array(places, np.int64).tobytes()))
             for k in range(0, len(rows), 20_000):
                 c = [*zip(*rows[k:k + 20_000], strict=True)]
-                yield pa.record_batch([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.bool_()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int32()), pa.array(c[5], pa.binary())], names=["doc_id", "gram", "hot", "pos", "lead", "seg"])
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(c, (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["key", "path", "doc_id", "pos", "seg"])
 
-    return docs.select("doc_id", "text", "live").mapInArrow(run, "doc_id long, gram long, hot boolean, pos int, lead int, seg binary")
+    return docs.select("doc_id", "text", "live").mapInArrow(run, "key long, path binary, doc_id long, pos int, seg binary")
 
 
 def suffix_tree_marks(rows: list[tuple[int, int, bytes]], window: int) -> list[tuple[int, int]]:
@@ -125,52 +141,45 @@ def suffix_tree_marks(rows: list[tuple[int, int, bytes]], window: int) -> list[t
     return out
 
 
-def tree_marks(segs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, pos) by the trees of the short prefixes; a partition's groups stream by, sorted by prefix."""
+def tree_marks(found: DataFrame, window: int) -> DataFrame:
+    """(doc_id, pos) of every suffix that repeats an earlier document; a partition's groups stream by, sorted."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, bytes]] = []
-        now = None
-        out: list[tuple[int, int]] = []
+        now: object = None
+        least = 0
+        out: list[np.ndarray] = []
 
         def batch() -> pa.RecordBatch:
-            a = np.array(out, np.int64).reshape(-1, 2)
+            a = np.concatenate([np.zeros((0, 2), np.int64), *out])
             out.clear()
             return pa.record_batch([pa.array(a[:, 0]), pa.array(a[:, 1].astype(np.int32))], names=["doc_id", "pos"])
 
+        def close() -> None:
+            if len(held) > 1 and (marks := suffix_tree_marks(held, window)):
+                out.append(np.array(marks, np.int64))
+            held.clear()
+
         for b in batches:
-            for gram, doc, pos, seg in zip(*(b.column(c).to_pylist() for c in ("gram", "doc_id", "pos", "seg")), strict=True):
-                if gram != now:
-                    if len(held) > 1:
-                        out += suffix_tree_marks(held, window)
-                    held, now = [], gram
-                    if len(out) > 20_000:
-                        yield batch()
-                held.append((doc, pos, seg))
-        if len(held) > 1:
-            out += suffix_tree_marks(held, window)
+            for key, path, doc, pos, seg in zip(*(b.column(c).to_pylist() for c in ("key", "path", "doc_id", "pos", "seg")), strict=True):
+                if path is None:
+                    if key != now:
+                        close()
+                        now = key
+                    held.append((doc, pos, seg))
+                else:
+                    if path != now:
+                        close()
+                        now, least = path, doc  # sorted: the node's first row has its least document
+                    places = np.frombuffer(seg, np.int64).reshape(-1, 2)
+                    out.append(places[places[:, 0] > least])
+            if sum(map(len, out)) > 20_000:
+                yield batch()
+        close()
         if out:
             yield batch()
 
-    cool = segs.where(~F.col("hot")).repartition("gram").sortWithinPartitions("gram")
-    return cool.select("gram", "doc_id", "pos", "seg").mapInArrow(run, "doc_id long, pos int")
-
-
-def node_marks(segs: DataFrame, window: int) -> DataFrame:
-    """(doc_id, pos) for the prefixes extended to a whole window: a node is known by two hashes of its path."""
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, at, paths = [], [], []
-            for doc, pos, seg in zip(*(b.column(c).to_pylist() for c in ("doc_id", "pos", "seg")), strict=True):
-                words = seg.split(b" ")
-                for k in range(len(words) - window + 1):
-                    ids.append(doc)
-                    at.append(pos + k)
-                    paths.append(hashlib.blake2b(b" ".join(words[k:k + window]), digest_size=16).digest())
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(paths, pa.binary())], names=["doc_id", "pos", "path"])
-
-    nodes = segs.where("hot").select("doc_id", "pos", "seg").mapInArrow(run, "doc_id long, pos int, path binary")
-    least = nodes.groupBy("path").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    return nodes.join(least, "path").where("doc_id > least").select("doc_id", "pos")
+    dealt = found.repartition("key").sortWithinPartitions("key", "path", "doc_id")
+    return dealt.mapInArrow(run, "doc_id long, pos int")
 
 
 def repeated_passages(
@@ -195,11 +204,11 @@ def repeated_passages(
 
     # every reader of the texts takes them from one exchange by doc_id
     single = solid.join(copies, "doc_id", "left_anti")
-    anchors = anchor_rows(single, window, prefix)
-    live = anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", (F.col("n") > group).alias("hot"))
-    mine = anchors.join(live, "gram").groupBy("doc_id").agg(F.collect_list(F.struct("gram", "hot")).alias("live"))
-    segs = segments(single.join(mine, "doc_id"), window, prefix)
-    marks = tree_marks(segs, window).union(node_marks(segs, window)).groupBy("doc_id").agg(F.collect_list("pos").alias("marks"))
+    total = F.sum(1 + F.size("more")).over(Window.partitionBy("gram"))
+    live = anchor_rows(single, window, prefix).withColumn("n", total).where("n > 1")
+    own_grams = live.select(F.explode(F.concat(F.array("doc_id"), F.col("more"))).alias("doc_id"), "gram", (F.col("n") > group).alias("hot"))
+    mine = own_grams.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "hot")).alias("live"))
+    marks = tree_marks(suffixes(single.join(mine, "doc_id"), window, prefix), window).groupBy("doc_id").agg(F.collect_list("pos").alias("marks"))
     facts = marks.select("doc_id", "marks", F.lit(False).alias("copy")).union(copies.select("doc_id", F.lit(None).cast("array<int>"), F.lit(True)))
     dealt = solid.join(facts.groupBy("doc_id").agg(F.first("marks", True).alias("marks"), F.max("copy").alias("copy")), "doc_id", "left")
     rest = own.where("doc_id is null or text is null").select("doc_id", "text", F.lit(None).cast("array<int>").alias("marks"), F.lit(False).alias("copy"))
