@@ -23,7 +23,7 @@ STEMS = (4, 5, 6)  # letters of a word's beginnings
 #: Bounds: documents of a label in the training sample (expected), features of the model, words a worker remembers.
 SAMPLE, FEATURES, CACHE = 3000, 4000, 1 << 18
 LEAST_DOCS = 4  # training documents that have a feature
-STEPS, RATE, DECAY, PENALTY, THRESHOLD = 250, 0.3, 1e-3, 1.0, 0.3
+STEPS, RATE, DECAY, PENALTY, THRESHOLD = 400, 0.3, 2e-4, 1.0, 0.3
 #: Identity terms by kind; within a kind, one stands for another in a counterfactual.
 IDENTITY = (
     "women men girls boys frauen männer femmes hommes mujeres hombres",
