@@ -24,9 +24,11 @@ from .common import durable, text_slices
 UNIT = 64  # bytes that a payload is padded to a multiple of
 RATE = 8000
 SHORTEST, LONGEST, MASK_BITS = 2048, 1 << 16, 12  # of a chunk, in bytes; about SHORTEST + 2 ** MASK_BITS on average
-#: A fixed pseudo-random value for each byte, by a multiplicative rule.
-GEAR = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-GEAR = (GEAR * np.uint64(0x85EBCA6B) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+#: A fixed pseudo-random value for each byte: a multiplicative mix, folded twice.
+GEAR = np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+GEAR ^= GEAR >> np.uint64(29)
+GEAR *= np.uint64(0xBF58476D1CE4E5B9)
+GEAR = (GEAR >> np.uint64(32)).astype(np.uint32)
 
 
 def payload(text: str | None) -> bytes:
