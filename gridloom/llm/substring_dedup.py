@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import durable, text_slices
 
 WINDOW = 13  # words of a repeat, at least
-PREFIX = 5  # words of a short prefix
+PREFIX = 4  # words of a short prefix
 GROUP = 4096  # suffixes with one short prefix, at most; some MB of text
 SLICE = 8 << 20  # bytes of text whose anchors and nodes are packed together
 
@@ -62,30 +62,33 @@ def picks(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def anchor_rows(docs: DataFrame, window: int, prefix: int) -> DataFrame:
-    """(gram, doc_id, more): the documents that each anchor stands in; a batch's documents share a row."""
+    """(gram, doc_id, more, places): the documents that each anchor stands in, and how often it does in all; a
+    batch's documents share a row."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, "text", SLICE):
-            ids, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            ids, found, often = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 h = grams(word_list(text), prefix)
-                g = np.unique(h[np.unique(picks(h, window - prefix + 1))])
+                g, n = np.unique(h[np.unique(picks(h, window - prefix + 1))], return_counts=True)
                 found.append(g)
+                often.append(n)
                 ids.append(np.full(len(g), i, np.int64))
-            gram, doc = np.concatenate(found).view(np.int64), np.concatenate(ids)
+            gram, doc, n = np.concatenate(found).view(np.int64), np.concatenate(ids), np.concatenate(often)
             order = np.argsort(gram, kind="stable")
             gram, doc = gram[order], doc[order]
             head = np.r_[True, gram[1:] != gram[:-1]][:len(gram)]
             rest = np.diff(np.r_[np.flatnonzero(head), len(gram)]) - 1
             more = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(rest)], pa.int32()), pa.array(doc[~head]))
-            yield pa.record_batch([pa.array(gram[head]), pa.array(doc[head]), more], names=["gram", "doc_id", "more"])
+            places = np.add.reduceat(n[order], np.flatnonzero(head)) if len(gram) else n
+            yield pa.record_batch([pa.array(gram[head]), pa.array(doc[head]), more, pa.array(places, pa.int32())], names=["gram", "doc_id", "more", "places"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "gram long, doc_id long, more array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "gram long, doc_id long, more array<long>, places int")
 
 
 def suffixes(docs: DataFrame, window: int, prefix: int) -> DataFrame:
     """(key, path, doc_id, pos, seg): the stretches of text around each live anchor, by prefix.
 
-    ``docs`` has live ARRAY<STRUCT<gram, hot>>. With a short prefix, key is the gram and seg holds every window
+    ``docs`` has its live grams by kind: cool ARRAY<BIGINT>, hot ARRAY<BIGINT>. With a short prefix, key is the gram and seg holds every window
     that picked the anchor, words joined by a blank, from word pos. With a full-window prefix, key and path are
     hashes of the window and seg packs its (doc, pos) places in the batch, doc_id being the least document.
     """
@@ -93,7 +96,7 @@ def suffixes(docs: DataFrame, window: int, prefix: int) -> DataFrame:
         for b in text_slices(batches, "text", SLICE):
             rows: list[tuple] = []
             nodes: dict[bytes, list[int]] = {}
-            for i, text, live in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("live").to_pylist(), strict=True):
+            for i, text, cool, hots in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "cool", "hot")), strict=True):
                 words = word_list(text)
                 h = grams(words, prefix)
                 p = picks(h, window - prefix + 1)
@@ -101,7 +104,7 @@ def suffixes(docs: DataFrame, window: int, prefix: int) -> DataFrame:
                     continue
                 first = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
                 last = np.r_[first[1:], len(p)] - 1
-                known = {x["gram"]: x["hot"] for x in live}
+                known = dict.fromkeys(cool, False) | dict.fromkeys(hots, True)
                 g = h.view(np.int64)[p[first]].tolist()
                 for f, z, gram in zip(first.tolist(), last.tolist(), g, strict=True):
                     hot = known.get(gram)
@@ -117,7 +120,7 @@ def suffixes(docs: DataFrame, window: int, prefix: int) -> DataFrame:
                 c = [*zip(*rows[k:k + 20_000], strict=True)]
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(c, (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["key", "path", "doc_id", "pos", "seg"])
 
-    return docs.select("doc_id", "text", "live").mapInArrow(run, "key long, path binary, doc_id long, pos int, seg binary")
+    return docs.select("doc_id", "text", "cool", "hot").mapInArrow(run, "key long, path binary, doc_id long, pos int, seg binary")
 
 
 def suffix_tree_marks(rows: list[tuple[int, int, bytes]], window: int) -> list[tuple[int, int]]:
@@ -204,10 +207,10 @@ def repeated_passages(
 
     # every reader of the texts takes them from one exchange by doc_id
     single = solid.join(copies, "doc_id", "left_anti")
-    total = F.sum(1 + F.size("more")).over(Window.partitionBy("gram"))
-    live = anchor_rows(single, window, prefix).withColumn("n", total).where("n > 1")
+    by = Window.partitionBy("gram")
+    live = anchor_rows(single, window, prefix).withColumns({"docs": F.sum(1 + F.size("more")).over(by), "n": F.sum("places").over(by)}).where("docs > 1")
     own_grams = live.select(F.explode(F.concat(F.array("doc_id"), F.col("more"))).alias("doc_id"), "gram", (F.col("n") > group).alias("hot"))
-    mine = own_grams.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "hot")).alias("live"))
+    mine = own_grams.groupBy("doc_id").agg(F.collect_list(F.when(~F.col("hot"), F.col("gram"))).alias("cool"), F.collect_list(F.when(F.col("hot"), F.col("gram"))).alias("hot"))
     marks = tree_marks(suffixes(single.join(mine, "doc_id"), window, prefix), window).groupBy("doc_id").agg(F.collect_list("pos").alias("marks"))
     facts = marks.select("doc_id", "marks", F.lit(False).alias("copy")).union(copies.select("doc_id", F.lit(None).cast("array<int>"), F.lit(True)))
     dealt = solid.join(facts.groupBy("doc_id").agg(F.first("marks", True).alias("marks"), F.max("copy").alias("copy")), "doc_id", "left")
