@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import geometry, palette, text, validity
-from .operators import edges, grid, interp, mesh, polygon, polyline, select, spatial, stats, trace
-from .plans import layers, raster
+from .operators import edges, grid, interp, mesh, polygon, polyline, select, spatial, stats, trace, values
+from .plans import basins, layers, merge, raster, streamlines
 from .shipping import ship
-from .sources import package
+from .sources import package, staging
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -830,3 +830,88 @@ SELECT user_id, arg_max(depth, speed * 1000000 - draw) AS depth, max(speed) AS s
 def seed_depth_choice(spark, sf_dir):
     e = t(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("draw"), F.col("value").alias("depth"), F.when(F.col("event_type") != "error", F.col("value")).alias("speed"), F.lit(False).alias("proxy"))
     return trace.chosen_depth(e, "user_id", "fastest_valid")
+
+
+# whole jobs and what is left ------------------------------------------------------------------------------------
+
+@query("SELECT x AS v, count(*) AS n FROM (SELECT l_suppkey AS x FROM lineitem UNION ALL SELECT l_partkey FROM lineitem) GROUP BY 1")
+def stacked_columns(spark, sf_dir):
+    return values.stacked(t(spark, sf_dir, "lineitem"), ["l_suppkey", "l_partkey"], "v").groupBy("v").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, 'a=' || c_nationkey || ';b=new;c=x' AS labels, coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END, c_name) AS state FROM customer")
+def merged_labels(spark, sf_dir):
+    c = t(spark, sf_dir, "customer")
+    m = values.merged_maps(F.create_map(F.lit("a"), F.col("c_nationkey").cast("string"), F.lit("b"), F.lit("old")), F.create_map(F.lit("b"), F.lit("new"), F.lit("c"), F.lit("x")))
+    return c.select("c_custkey", F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("labels"),
+                    values.layered(F.col("c_name"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment"))).alias("state"))
+
+
+@query("SELECT min(s_acctbal) AS s_acctbal, min(s_nationkey) AS s_nationkey FROM supplier")
+def least_settings(spark, sf_dir):
+    return values.least_setting(t(spark, sf_dir, "supplier"), "s_acctbal", "s_nationkey")
+
+
+@query("""WITH g AS (SELECT l_returnflag AS f, l_linestatus AS s, min(l_tax) AS a, max(l_tax) AS b, avg(l_tax) AS m, count(*) AS w FROM lineitem GROUP BY 1, 2)
+SELECT f AS bucket, min(a) AS min, max(b) AS max, round(sum(m * w) / sum(w), 6) AS mean, CAST(sum(w) AS BIGINT) AS weight FROM g GROUP BY 1""")
+def merged_bucket_stats(spark, sf_dir):
+    parts = t(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("bucket"), "l_linestatus").agg(*stats.stats(F.col("l_tax")), F.count("*").alias("weight"))
+    return merge.buckets(parts).select("bucket", "min", "max", r(F.col("mean")).alias("mean"), F.col("weight").cast("long").alias("weight"))
+
+
+@query("""SELECT p_partkey, p_size AS size, coalesce(nullif(p_brand, 'Brand#1'), 'none') AS brand, 'v1' AS version FROM part""")
+def attribute_defaults(spark, sf_dir):
+    p = t(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("size"), F.when(F.col("p_brand") != "Brand#1", F.col("p_brand")).alias("brand"))
+    return staging.attributes(p, {"brand": "none", "version": "v1"}).select("p_partkey", "size", "brand", "version")
+
+
+@query(f"""WITH {FIELD}, v AS (SELECT row, col, k AS level, price * k AS u FROM field, range(1, 4) g(k)) SELECT row // 5 AS row, col // 5 AS col, CAST(level AS INTEGER) AS level, u FROM v WHERE row % 5 = 0 AND col % 5 = 0""")
+def sparse_volume(spark, sf_dir):
+    f = field(spark, sf_dir).withColumn("level", F.explode(F.array(*map(F.lit, (1, 2, 3))))).select("row", "col", "level", (F.col("price") * F.col("level")).alias("u"))
+    return staging.sparse_volume(staging.levels(f), 5)
+
+
+@query("""WITH s AS (SELECT turn, text, length(text) * 100 AS ms, sum(length(text) * 100) OVER (ORDER BY turn) - length(text) * 100 AS st, row_number() OVER (ORDER BY turn) AS n FROM conversations WHERE conv_id = 3 AND text IS NOT NULL),
+p AS (SELECT *, CAST(st AS BIGINT) AS a, CAST(st + ms AS BIGINT) AS b FROM s)
+SELECT turn, n || chr(10) || printf('%02d:%02d:%02d,%03d', a // 3600000, a // 60000 % 60, a // 1000 % 60, a % 1000) || ' --> ' || printf('%02d:%02d:%02d,%03d', b // 3600000, b // 60000 % 60, b // 1000 % 60, b % 1000) || chr(10) || trim(text) || chr(10) AS block FROM p""")
+def subtitle_blocks(spark, sf_dir):
+    c = t(spark, sf_dir, "conversations").where("conv_id = 3 and text is not null").withColumn("ms", F.length("text") * 100)
+    s = polyline.timeline(c, "turn", "ms", F.lit(True))
+    return s.select("turn", text.subtitle(F.col("voice_number"), F.col("start"), F.col("ms"), F.col("text")).alias("block"))
+
+
+@query()
+def basin_records(spark, sf_dir):
+    b = rings(spark, sf_dir).select(F.col("label").cast("string").alias("id"), F.lit("n").alias("name"), F.lit(0).alias("part"), "ring")
+    return basins.basins(b).select("id", "label_x", "label_y", "area_km2", F.size("rings").alias("rings"))
+
+
+@query("SELECT user_id, CAST(count(*) FILTER (WHERE k <= 5) AS BIGINT) AS kept FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM events) GROUP BY 1")
+def top_in_group(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")
+    e = t(spark, sf_dir, "events").withColumn("k", F.row_number().over(w))
+    return e.groupBy("user_id").agg(F.count_if(F.col("k") <= 5).alias("kept"))
+
+
+@query("SELECT bool_and(regexp_matches(event_type, '(surface|upper|mid|lower)$')) AS split FROM events")
+def layers_in_use(spark, sf_dir):
+    return polyline.layers_used(t(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n")), "event_type", "n")
+
+
+@query()
+def streamline_job(spark, sf_dir):
+    """E2 over an analytic whirl: masks by the tables, seeds, traces, quota selection, segments."""
+    import numpy as np
+
+    n = 40
+    y, x = np.mgrid[0:n, 0:n].astype(float)
+    whirl = {"u": np.stack([-(y - 20)] * 3), "v": np.stack([x - 20] * 3), "w": np.zeros((3, n, n)), "theta": np.stack([x] * 3), "sal": np.stack([y] * 3)}
+    vol = trace.Volume(np.array([0.0, 500.0, 1000.0]), whirl, np.zeros((n, n)), np.full((n, n), 1000.0), np.ones((n, n), bool), bilinear=True)
+    column = spark.range(n * n).select(F.floor(F.col("id") / n).cast("int").alias("row"), (F.col("id") % n).cast("int").alias("col"), F.lit(0.0).alias("top"), F.lit(1000.0).alias("bottom"))
+    cavity = sparse_cells(spark, sf_dir).where("row < 12").select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))
+    open_water = column.select("row", "col").join(cavity, ["row", "col"], "left_anti")
+    table = streamlines.bucket_table(spark, "legacy_multi_bucket")
+    masks = streamlines.seed_masks("legacy_multi_bucket", open_water, cavity, 1000.0, n, n)
+    starts = streamlines.seeds(masks, table, column, 40)
+    lines = streamlines.streamlines(starts, vol, table, 40, steps=12, step=0.3)
+    return streamlines.segments(lines).groupBy("bucket").agg(F.count("*").alias("segments"), F.sum("terminal_flag").alias("streamlines"))

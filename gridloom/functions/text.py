@@ -130,3 +130,13 @@ def route(path: Column) -> Column:
 def localized_number(v: Column, decimals: int = 0) -> Column:
     """with thousands separators."""
     return F.format_number(v, decimals)
+
+
+def subtitle(number: Column, start: Column, duration: Column, words: Column) -> Column:
+    """One numbered subtitle block."""
+    return F.concat(number.cast("string"), F.lit("\n"), srt_time(start), F.lit(" --> "), srt_time(start + duration), F.lit("\n"), F.trim(words), F.lit("\n"))
+
+
+def preview_entry(grid: dict[str, Column], counts: Column, ranges: Column) -> Column:
+    """A preview's index record as JSON: grid, class counts and display ranges."""
+    return F.to_json(F.struct(F.struct(*(v.alias(k) for k, v in grid.items())).alias("grid"), F.struct(counts.alias("counts")).alias("mask"), ranges.alias("variables")))
