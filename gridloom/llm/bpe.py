@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import text_slices
 
 CACHE = 1 << 18  # words that a worker remembers at most
-BATCH = 6 << 20  # bytes of text whose new words are merged together
+BATCH = 2 << 20  # bytes of text whose new words are merged together
 
 
 def byte_alphabet() -> list[str]:
@@ -49,20 +49,18 @@ class Bpe:
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.alphabet = byte_alphabet()
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}  # pair of ids: rank, id of the joined symbol
-        for rank, (a, b) in enumerate(model["merges"]):
-            self.merges[self.ids[a], self.ids[b]] = rank, self.ids[a + b]
-        self.pair = [*self.merges]
-        self.joined = np.array([self.merges[p][1] for p in self.pair])
+        # by rank: the pair of symbols and what they join to
+        self.pair = np.array([(self.ids[a], self.ids[b]) for a, b in model["merges"]])
+        self.joined = np.array([self.ids[a + b] for a, b in model["merges"]])
         # pairs by number, for lookups of many at once
-        code = np.array([a * self.WIDE + b for a, b in self.pair])
+        code = self.pair[:, 0] * self.WIDE + self.pair[:, 1]
         self.by_code = np.argsort(code)
         self.codes = code[self.by_code]
         # a symbol appears after the rank that makes it; only then may a rank's places be joined all at once
         made: dict[int, int] = {}
         for rank, new in enumerate(self.joined.tolist()):
             made[new] = max(rank, made.get(new, -1))
-        self.ordered = all(max(made.get(a, -1), made.get(b, -1)) < rank for rank, (a, b) in enumerate(self.pair))
+        self.ordered = all(max(made.get(a, -1), made.get(b, -1)) < rank for rank, (a, b) in enumerate(self.pair.tolist()))
         self.inner = np.array([self.ids[c] for c in self.alphabet])
         self.final = np.array([self.ids[c + self.end] for c in self.alphabet])
         self.forget()
@@ -127,7 +125,7 @@ class Bpe:
         note(np.arange(max(0, len(chain) - 1)), self.ranks(chain[:-1], chain[1:]))
         while active:
             now = heapq.heappop(active)
-            a, b = self.pair[now]
+            a, b = self.pair[now].tolist()
             todo = np.unique(np.concatenate(places.pop(now)))
             todo = todo[chain[todo] == a]
             todo = todo[chain[nxt[todo]] == b]
@@ -192,7 +190,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     ``path``: a word-kind tokenizers .json file, readable on every executor; truncation, padding and added
     special tokens are not used; special strings in a text become their ids. Null and empty texts have no ids
     and decode to the empty string; null ids and repeated rows stay; an empty table gives no rows; other columns
-    are not read. Memory is bounded by about 6 MB of text, or one text, and the word cache.
+    are not read. Memory is bounded by about 2 MB of text, or one text, and the word cache.
     """
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)

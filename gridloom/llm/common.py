@@ -48,6 +48,8 @@ def text_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 2 <
             held += n
         if start < len(sizes):
             yield batch.slice(start)
+        del batch
+        pa.default_memory_pool().release_unused()  # workers are kept for later tasks; what they hold adds up
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
