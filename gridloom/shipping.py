@@ -1,4 +1,4 @@
-"""The library's code for the Python workers of executors that don't have it installed."""
+"""What a session needs before Python workers run the library: its code, and batches that fit long texts."""
 
 from __future__ import annotations
 
@@ -11,9 +11,16 @@ from pyspark.sql import SparkSession
 _sent: set[str] = set()
 
 
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Adds this package to the session's workers, once an application."""
+    """Adds this package to the session's workers, once an application. A session that leaves the rows of an Arrow
+    batch at Spark's default gets fewer: ten thousand long texts at once, in the JVM and again in Python, are much
+    of an executor's memory."""
     sc = spark.sparkContext
+    if spark.conf.get(ROWS, "10000") == "10000":
+        spark.conf.set(ROWS, "1000")
     if sc.applicationId not in _sent:
         here = os.path.dirname(os.path.abspath(__file__))
         path = os.path.join(tempfile.mkdtemp(prefix="gridloom-"), "gridloom.zip")
