@@ -33,7 +33,9 @@ def durable(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-ckpt-"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    # as other columns than those of ``df``, so that it may be joined to what it came from
+    return out.select(*(F.col(f"`{c}`").alias(c) for c in out.columns))
 
 
 def text_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:

@@ -198,7 +198,10 @@ def repeated_passages(
     with equal ids, do not count; rows with a null id neither lose nor mark anything; repeated rows stay; an
     empty table gives no rows; other columns are not read.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # columns that are right as they are stay so: an alias in one plan and not in another would part their exchanges
+    own = docs.select(*(
+        F.col(c) if c == name and docs.schema[c].dataType.simpleString() == kind else F.col(c).cast(kind).alias(name)
+        for c, name, kind in ((id_col, "doc_id", "bigint"), (text_col, "text", "string"))))
     solid = own.where("doc_id is not null and text is not null")
     # a text's smallest document speaks for its copies: every window of theirs also starts there
     sha = solid.select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha"))
@@ -210,7 +213,8 @@ def repeated_passages(
     by = Window.partitionBy("gram")
     live = anchor_rows(single, window, prefix).withColumns({"docs": F.sum(1 + F.size("more")).over(by), "n": F.sum("places").over(by)}).where("docs > 1")
     own_grams = live.select(F.explode(F.concat(F.array("doc_id"), F.col("more"))).alias("doc_id"), "gram", (F.col("n") > group).alias("hot"))
-    mine = own_grams.groupBy("doc_id").agg(F.collect_list(F.when(~F.col("hot"), F.col("gram"))).alias("cool"), F.collect_list(F.when(F.col("hot"), F.col("gram"))).alias("hot"))
+    # dealt before they are listed: partial lists, one or two grams each, would be most of a shuffle
+    mine = own_grams.repartition("doc_id").groupBy("doc_id").agg(F.collect_list(F.when(~F.col("hot"), F.col("gram"))).alias("cool"), F.collect_list(F.when(F.col("hot"), F.col("gram"))).alias("hot"))
     marks = tree_marks(suffixes(single.join(mine, "doc_id"), window, prefix), window).groupBy("doc_id").agg(F.collect_list("pos").alias("marks"))
     facts = marks.select("doc_id", "marks", F.lit(False).alias("copy")).union(copies.select("doc_id", F.lit(None).cast("array<int>"), F.lit(True)))
     dealt = solid.join(facts.groupBy("doc_id").agg(F.first("marks", True).alias("marks"), F.max("copy").alias("copy")), "doc_id", "left")
