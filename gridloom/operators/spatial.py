@@ -16,7 +16,8 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    return out.select(*(F.col(c).alias(c) for c in out.columns))
 
 
 def bin_size(valid: int, target: int, low: int = 6, high: int = 12) -> int:
