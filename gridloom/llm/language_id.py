@@ -216,7 +216,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     return rows.mapInArrow(run, shape).select("k.*", "lang_pred", "score")
 
 
-def reject_unknown(docs: DataFrame, model: Model | None, least: float = 0.4, text_col: str = "text") -> DataFrame:
+def reject_unknown(docs: DataFrame, model: Model | None, least: float = 0.3, text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that have no language: no letter at all, or no language of ``least`` mean
     probability. Same columns; all else stays."""
     found = identify(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), F.col(text_col).alias("t_")), model, text_col="t_", keep=("d",))
