@@ -448,11 +448,17 @@ def layer_boundaries(spark, sf_dir):
     return polyline.bucket_of(c.select("c_custkey"), "c_custkey", b).select("c_custkey", "bucket")
 
 
+def scenes(spark, sf_dir):
+    """All turns of all conversations in order, as scenes."""
+    c = t(spark, sf_dir, "conversations").where("text is not null")
+    return c.withColumn("position", F.col("conv_id") * 4096 + F.col("turn"))
+
+
 @query("""SELECT conv_id, turn, CAST(sum(length(text)) OVER w - length(text) AS BIGINT) AS start, CASE WHEN role = 'user' THEN count(*) FILTER (WHERE role = 'user') OVER w END AS voice_number
-FROM conversations WHERE conv_id = 3 AND text IS NOT NULL WINDOW w AS (ORDER BY turn ROWS UNBOUNDED PRECEDING)""")
+FROM conversations WHERE text IS NOT NULL WINDOW w AS (ORDER BY conv_id, turn ROWS UNBOUNDED PRECEDING)""")
 def timeline_offsets(spark, sf_dir):
-    c = t(spark, sf_dir, "conversations").where("conv_id = 3 and text is not null").withColumn("duration", F.length("text").cast("long"))
-    return polyline.timeline(c, "turn", "duration", F.col("role") == "user").select("conv_id", "turn", F.col("start").cast("long").alias("start"), F.col("voice_number").cast("long").alias("voice_number"))
+    c = scenes(spark, sf_dir).withColumn("duration", F.length("text").cast("long"))
+    return polyline.timeline(c, "position", "duration", F.col("role") == "user").select("conv_id", "turn", F.col("start").cast("long").alias("start"), F.col("voice_number").cast("long").alias("voice_number"))
 
 
 @query("""SELECT e.event_id, (SELECT s.value FROM events s WHERE s.user_id = e.user_id AND s.event_type = 'signup' AND s.ts <= e.ts ORDER BY s.ts DESC, s.event_id DESC LIMIT 1) AS value FROM events e WHERE e.event_type = 'purchase'""")
@@ -871,13 +877,13 @@ def sparse_volume(spark, sf_dir):
     return staging.sparse_volume(staging.levels(f), 5)
 
 
-@query("""WITH s AS (SELECT turn, text, length(text) * 100 AS ms, sum(length(text) * 100) OVER (ORDER BY turn) - length(text) * 100 AS st, row_number() OVER (ORDER BY turn) AS n FROM conversations WHERE conv_id = 3 AND text IS NOT NULL),
+@query("""WITH s AS (SELECT conv_id, turn, text, length(text) * 100 AS ms, sum(length(text) * 100) OVER (ORDER BY conv_id, turn) - length(text) * 100 AS st, row_number() OVER (ORDER BY conv_id, turn) AS n FROM conversations WHERE text IS NOT NULL),
 p AS (SELECT *, CAST(st AS BIGINT) AS a, CAST(st + ms AS BIGINT) AS b FROM s)
-SELECT turn, n || chr(10) || printf('%02d:%02d:%02d,%03d', a // 3600000, a // 60000 % 60, a // 1000 % 60, a % 1000) || ' --> ' || printf('%02d:%02d:%02d,%03d', b // 3600000, b // 60000 % 60, b // 1000 % 60, b % 1000) || chr(10) || trim(text) || chr(10) AS block FROM p""")
+SELECT conv_id, turn, n || chr(10) || printf('%02d:%02d:%02d,%03d', a // 3600000, a // 60000 % 60, a // 1000 % 60, a % 1000) || ' --> ' || printf('%02d:%02d:%02d,%03d', b // 3600000, b // 60000 % 60, b // 1000 % 60, b % 1000) || chr(10) || trim(text) || chr(10) AS block FROM p""")
 def subtitle_blocks(spark, sf_dir):
-    c = t(spark, sf_dir, "conversations").where("conv_id = 3 and text is not null").withColumn("ms", F.length("text") * 100)
-    s = polyline.timeline(c, "turn", "ms", F.lit(True))
-    return s.select("turn", text.subtitle(F.col("voice_number"), F.col("start"), F.col("ms"), F.col("text")).alias("block"))
+    c = scenes(spark, sf_dir).withColumn("ms", F.length("text") * 100)
+    s = polyline.timeline(c, "position", "ms", F.lit(True))
+    return s.select("conv_id", "turn", text.subtitle(F.col("voice_number"), F.col("start"), F.col("ms"), F.col("text")).alias("block"))
 
 
 @query()

@@ -28,16 +28,20 @@ def array_segments(lines: DataFrame, points: str) -> DataFrame:
     return out.select(*(c for c in lines.columns if c != points), "i", F.col("s.a").alias("a"), F.col("s.b").alias("b"), (F.col("i") == F.col("n_") - 2).cast("int").alias("terminal_flag"))
 
 
-def exclusive_sum(df: DataFrame, order: str, size: str, out: str, block: int = 1 << 16) -> DataFrame:
+def exclusive_sum(df: DataFrame, order: str, size: str, out: str, block: int = 1 << 16, levels: int = 2) -> DataFrame:
     """The sum of ``size`` over all earlier rows. ``order`` is unique.
 
-    Sums of blocks of ``order`` come first and are few; within a block a window runs, so no task sees all rows.
+    Rows are summed by blocks of ``order`` and these by blocks of blocks; windows run within a block, and only the
+    topmost sums, one for block ** levels of ``order``, meet in one task.
     """
-    b = F.floor(F.col(order) / block)
-    totals = df.groupBy(b.alias("b_")).agg(F.sum(size).alias("t_"))
-    before = totals.select("b_", F.coalesce(F.sum("t_").over(Window.orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base_"))
-    inner = F.coalesce(F.sum(size).over(Window.partitionBy("b_").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("b_", b).withColumn("in_", inner).join(before, "b_").withColumn(out, F.col("base_") + F.col("in_")).drop("b_", "in_", "base_")
+    past = Window.rowsBetween(Window.unboundedPreceding, -1)
+    if levels == 0:
+        return df.withColumn(out, F.coalesce(F.sum(size).over(past.orderBy(order)), F.lit(0)))
+    b, total, base, own = (f"{c}{levels}_" for c in ("b", "t", "base", "in"))
+    at = F.floor(F.col(order) / block)
+    totals = exclusive_sum(df.groupBy(at.alias(b)).agg(F.sum(size).alias(total)), b, total, base, block, levels - 1).select(b, base)
+    inner = F.coalesce(F.sum(size).over(past.partitionBy(b).orderBy(order)), F.lit(0))
+    return df.withColumn(b, at).withColumn(own, inner).join(totals, b).withColumn(out, F.col(base) + F.col(own)).drop(b, own, base)
 
 
 def line_ordinal(segs: DataFrame, order: str = "seg_id") -> DataFrame:
