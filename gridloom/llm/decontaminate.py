@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, text_slices
+from .common import WORD_TABLE, alnum_words, text_slices
 
 WINDOW = 10
 BLOCK = 1 << 18  # windows broadcast at once: some 50 MB of words and indexes at most
@@ -84,7 +84,7 @@ def indexes(benchmark: DataFrame, length: int, block: int, id_col: str, text_col
 
 def find_hits(
     docs: DataFrame, benchmark: DataFrame, length: int = WINDOW, block: int = BLOCK, id_col: str = "doc_id",
-    text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] = (),
+    text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] = (), cut: bool = False,
 ) -> DataFrame:
     """Every row with its finds: doc_id, n_words, spans ARRAY<STRUCT<start, end>> (words from 0, merged), items.
 
@@ -92,24 +92,25 @@ def find_hits(
     lower-cased) and non-ASCII characters. Null and empty texts have no words and no finds; an item without
     words has no window; an item whose id is null marks words but is not listed; items that share a window are
     all listed; repeated rows stay; empty tables give no rows, or rows without finds. ``keep`` names columns to
-    carry along. A further index block adds its finds to those of the blocks before, within the row.
+    carry along, as k; ``cut`` adds rest, a text with finds without them (else null). A further index block adds its finds to those of the blocks before, within the row.
     """
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *(F.struct(*keep).alias("k") for _ in keep[:1]),
                       F.array().cast("array<int>").alias("hits"), F.array().cast("array<bigint>").alias("items"))
     own = [c for c in out.columns if c not in ("hits", "items")]
-    ended = out.select(*own, F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"), "items").schema
+    ended = out.select(*own, F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"), "items", *(F.lit(None).cast("string").alias("rest") for _ in range(cut))).schema
     queue = indexes(benchmark, length, block, item_col, item_text_col)
     index = next(queue)
     while index is not None:
         following = next(queue, None)
-        run = scanner(docs.sparkSession.sparkContext.broadcast(index), own, following is None)
+        run = scanner(docs.sparkSession.sparkContext.broadcast(index), own, following is None, cut)
         out = out.mapInArrow(run, ended if following is None else out.schema)
         index = following
     return out
 
 
-def scanner(shared, own: list[str], last: bool):
-    """A function over batches that adds one index block's finds; the last one also counts words and merges spans."""
+def scanner(shared, own: list[str], last: bool, cut: bool):
+    """A function over batches that adds one index block's finds; the last one also counts words, merges spans, and
+    cuts them out."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for b in text_slices(batches, "text"):
@@ -125,7 +126,8 @@ def scanner(shared, own: list[str], last: bool):
             if last:
                 spans = [[{"start": s, "end": e} for s, e in merged(h)] for h in hits]
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-                yield pa.record_batch([*kept, pa.array(count, pa.int64()), pa.array(spans, kind), ids], names=[*own, "n_words", "spans", "items"])
+                rest = [pa.array([without(t, s) if s else None for t, s in zip(b.column("text").to_pylist(), spans, strict=True)], pa.string())] * cut
+                yield pa.record_batch([*kept, pa.array(count, pa.int64()), pa.array(spans, kind), ids, *rest], names=[*own, "n_words", "spans", "items", *["rest"] * cut])
             else:
                 yield pa.record_batch([*kept, pa.array(hits, pa.list_(pa.int32())), ids], names=[*own, "hits", "items"])
 
@@ -156,28 +158,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.2,
     A cut takes the characters from the first hit word's start to the last one's end. Texts without a find are
     unchanged, nulls included; ``n_chars``, where present, follows a changed text.
     """
-    kind = docs.schema
-    found = hit_words(find_hits(docs, benchmark, keep=tuple(docs.columns), **options)).where(
+    found = hit_words(find_hits(docs, benchmark, keep=tuple(docs.columns), cut=True, **options)).where(
         F.col("n_hit") <= F.lit(max_share) * F.col("n_words"))
+    kind, name = docs.schema, options.get("text_col", "text")
+    put = {name: F.coalesce("rest", "text")}
+    if "n_chars" in docs.columns:
+        put["n_chars"] = F.when(F.col("rest").isNotNull(), F.length("rest").cast("long")).otherwise(F.col("k.n_chars"))
+    return found.select(*(put[c].cast(kind[c].dataType).alias(c) if c in put else F.col(f"k.`{c}`").alias(c) for c in docs.columns))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .common import WORD_TABLE
-        for b in batches:
-            texts = []
-            for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
-                if spans:
-                    raw = text.encode()
-                    plain = raw.translate(WORD_TABLE)
-                    texts.append(cut_words(raw, plain, spans).decode())
-                else:
-                    texts.append(text)
-            yield pa.record_batch([b.column("k"), pa.array(texts, b.schema.field("text").type), pa.array([bool(s) for s in b.column("spans").to_pylist()])], names=["k", "text", "cut"])
-
-    shape = found.select("k", "text").withColumn("cut", F.lit(True)).schema
-    out = found.select("k", "text", "spans").mapInArrow(run, shape)
-    name = options.get("text_col", "text")
-    put = {name: F.col("text")} | ({"n_chars": F.when(F.col("cut"), F.length("text").cast("long")).otherwise(F.col("k.n_chars"))} if "n_chars" in docs.columns else {})
-    return out.select(*(put[c].cast(kind[c].dataType).alias(c) if c in put else F.col(f"k.`{c}`").alias(c) for c in docs.columns))
+
+def without(text: str, spans: list[dict]) -> str:
+    raw = text.encode()
+    return cut_words(raw, raw.translate(WORD_TABLE), spans).decode()
 
 
 def cut_words(raw: bytes, plain: bytes, spans: list[dict]) -> bytes:
