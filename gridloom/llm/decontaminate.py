@@ -158,9 +158,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_share: float = 0.2,
     A cut takes the characters from the first hit word's start to the last one's end. Texts without a find are
     unchanged, nulls included; ``n_chars``, where present, follows a changed text.
     """
-    found = hit_words(find_hits(docs, benchmark, keep=tuple(docs.columns), cut=True, **options)).where(
-        F.col("n_hit") <= F.lit(max_share) * F.col("n_words"))
     kind, name = docs.schema, options.get("text_col", "text")
+    others = tuple(c for c in docs.columns if c != name)
+    found = hit_words(find_hits(docs, benchmark, keep=others, cut=True, **options)).where(
+        F.col("n_hit") <= F.lit(max_share) * F.col("n_words"))
     put = {name: F.coalesce("rest", "text")}
     if "n_chars" in docs.columns:
         put["n_chars"] = F.when(F.col("rest").isNotNull(), F.length("rest").cast("long")).otherwise(F.col("k.n_chars"))
