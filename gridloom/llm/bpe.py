@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import release, text_slices
 
 CACHE = 1 << 18  # words that a worker remembers at most
 BATCH = 2 << 20  # bytes of text whose new words are merged together
@@ -199,6 +199,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
             text = [pa.array([bpe.decode(ids[a:z].tolist()) for a, z in zip(offsets, offsets[1:], strict=False)], pa.string())] * decoded
             yield pa.record_batch([b.column("i"), lists, *text], names=["doc_id", "ids", "decoded"][: 2 + decoded])
+        bpe.forget()
+        release()
 
     kept = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"))
     return kept.mapInArrow(run, "doc_id long, ids array<int>" + ", decoded string" * decoded)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -50,8 +53,15 @@ def text_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 2 <
             held += n
         if start < len(sizes):
             yield batch.slice(start)
-        del batch
-        pa.default_memory_pool().release_unused()  # workers are kept for later tasks; what they hold adds up
+    release()
+
+
+def release() -> None:
+    """Gives free memory back to the system: workers are kept for later tasks, and what they hold adds up."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

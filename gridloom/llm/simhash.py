@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, durable, text_slices
+from .common import connected_components, durable, release, text_slices
 
 GENERATOR = 0b110001110101  # of the binary Golay code of length 23
 LENGTH, RADIUS = 23, 3
@@ -141,11 +141,13 @@ def anchors(fps: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
 def replicas(fps: DataFrame, reach: int) -> DataFrame:
     """(anchor, fp): each fingerprint at each of its anchors."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = 2048 >> 2 * reach  # some ten thousand rows at once
         for b in batches:
-            for k in range(0, b.num_rows, 8192):
-                fp = b.column(0).slice(k, 8192).to_numpy(zero_copy_only=False)
+            for k in range(0, b.num_rows, step):
+                fp = b.column(0).slice(k, step).to_numpy(zero_copy_only=False)
                 at, key = anchors(fp.view(np.uint64), reach)
                 yield pa.record_batch([pa.array(key), pa.array(fp[at])], names=["anchor", "fp"])
+        release()
 
     return fps.select("fp").mapInArrow(run, "anchor long, fp long")
 
