@@ -6,7 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Names of sub-regions by code, used where a record has none.
-REGIONS = {"NO": "North", "NE": "Northeast", "CE": "Central East", "SE": "Southeast", "SW": "Southwest", "CW": "Central West", "NW": "Northwest"}
+REGIONS = {
+    "CE": "Central East", "CW": "Central West", "NE": "Northeast", "NO": "North", "NW": "Northwest", "SE": "Southeast", "SW": "Southwest",
+}
 
 
 def decode_attr(text: Column, raw: Column, default: Column | str = "") -> Column:
