@@ -8,11 +8,11 @@ replaced by another of its kind; so a neutral mention of a group says nothing ab
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +48,12 @@ def features(words: Iterable[str]) -> set[str]:
     return words | {f"^{w[:n]}" for w in words for n in STEMS if len(w) > n}
 
 
+def hashed(words: Iterable[str]) -> np.ndarray:
+    """Sorted 64-bit hashes of the features of some words."""
+    f = features(words)
+    return np.sort(np.fromiter(map(xxhash.xxh3_64_intdigest, f), np.uint64, len(f)))
+
+
 def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
@@ -90,30 +96,35 @@ def fit(texts: list[str], labels: list[int], penalty: float = PENALTY, kinds: tu
     if not texts:
         return Model({}, -40.0)
     swap = swaps(kinds)
-    rows = [features(words_of(t)) for t in texts]
+    # features by hash while there are millions of them; the chosen ones get their names back at the end
+    rows = [hashed(words_of(t)) for t in texts]
     y = np.array(labels, np.float64)
-    total = [Counter(f for r, v in zip(rows, labels, strict=True) if v == k for f in r) for k in (0, 1)]
     n = [max(1, labels.count(k)) for k in (0, 1)]
+    known, place = np.unique(np.concatenate(rows), return_inverse=True)
+    ones = np.bincount(place, np.repeat(y, [len(r) for r in rows]), len(known))
+    every = np.bincount(place, minlength=len(known))
+    del place
     # telling: distance of the document frequencies in standard errors
-    def worth(f: str) -> float:
-        p, q = total[1][f] / n[1], total[0][f] / n[0]
-        m = (total[1][f] + total[0][f]) / (n[0] + n[1])
-        return abs(p - q) / np.sqrt(m * (1 - m) * (1 / n[0] + 1 / n[1]) + 1e-12)
-    often = [f for f in total[0].keys() | total[1].keys() if total[0][f] + total[1][f] >= LEAST_DOCS]
-    chosen = sorted(often, key=lambda f: (-worth(f), f))[:FEATURES]
-    terms = {f for w in swap for f in features((w,))}
-    index = {f: k for k, f in enumerate(sorted({*(f for f in chosen if worth(f) > 3), *(f for f in terms if f in total[0] or f in total[1])}))}
-
-    def matrix(rows: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
-        pairs = [(k, index[f]) for k, r in enumerate(rows) for f in sorted(r) if f in index]
-        a = np.array(pairs, np.int64).reshape(-1, 2)
-        return a[:, 0], a[:, 1]
+    p, q, m = ones / n[1], (every - ones) / n[0], every / (n[0] + n[1])
+    worth = np.where(every >= LEAST_DOCS, np.abs(p - q) / np.sqrt(m * (1 - m) * (1 / n[0] + 1 / n[1]) + 1e-12), 0)
+    best = np.lexsort((known, -worth))[:FEATURES]
+    terms = np.intersect1d(known, hashed(swap))
+    index = np.union1d(known[best[worth[best] > 3]], terms)
+    d = len(index)
+
+    def matrix(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        own = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        flat = np.concatenate([np.zeros(0, np.uint64), *rows])
+        at = np.minimum(np.searchsorted(index, flat), max(0, d - 1))
+        live = index[at] == flat if d else np.zeros(len(flat), bool)
+        return own[live], at[live]
 
     met = [k for k, t in enumerate(texts) if not swap.keys().isdisjoint(words_of(t))]
-    mirrored = [features(swap.get(w, w) for w in words_of(texts[k])) for k in met]
+    mirrored = [hashed(swap.get(w, w) for w in words_of(texts[k])) for k in met]
     (r, c), (r1, c1), (r2, c2) = matrix(rows), matrix([rows[k] for k in met]), matrix(mirrored)
+    del rows, known
     weight = np.where(y == 1, 1 / n[1], 1 / n[0]) / 2
-    w, bias, speed, d = np.zeros(len(index)), 0.0, np.full(len(index) + 1, 1e-8), len(index)
+    w, bias, speed = np.zeros(d), 0.0, np.full(d + 1, 1e-8)
     for _ in range(STEPS):
         z = np.bincount(r, w[c], len(y)) + bias
         g = weight * (scaled(z) - y)
@@ -127,7 +138,12 @@ def fit(texts: list[str], labels: list[int], penalty: float = PENALTY, kinds: tu
         w -= RATE * grad / np.sqrt(speed[:d])
         bias -= RATE * g.sum() / np.sqrt(speed[d])
     share = min(max(sum(labels) / len(labels) if prior is None else prior, 1e-6), 1 - 1e-6)
-    return Model({f: float(w[k]) for f, k in index.items()}, float(bias + np.log(share / (1 - share))))
+    by_hash, names = dict(zip(index.tolist(), w.tolist(), strict=True)), {}
+    for t in texts:
+        for f in features(words_of(t)):
+            if (v := by_hash.get(xxhash.xxh3_64_intdigest(f))) is not None:
+                names[f] = v
+    return Model(dict(sorted(names.items())), float(bias + np.log(share / (1 - share))))
 
 
 def train(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, penalty: float = PENALTY) -> Model:
