@@ -62,8 +62,10 @@ def select_separated(candidates: DataFrame, quotas: dict[str, int], separation:
 
     ``candidates``: (cand_id, bucket, bin_row, bin_col, depth, segments, second, front, sector). In a bin no two
     chosen seeds are nearer in depth than ``separation``; that list is shared by all buckets and the choice is
-    sequential by nature, so it runs in one task. Its input is bounded: of a bin, a bucket and a depth band of
-    that height, no more than two can ever be chosen, and ranking keeps the best ones of each band before.
+    sequential by nature, so it runs in one task. To bound that task's input, candidates are thinned before: of
+    those of one bin, bucket, sector and front flag within a depth band of half the separation, of which no two
+    could both be chosen, the best one stands for all. So what comes in grows with bins, not with candidates; a
+    lesser candidate of a band is not tried where the best one turns out to be too near to another band's.
 
     First each bucket takes its quota bin by bin in turn; a rejected candidate does not use up its bin's turn.
     What quotas leave open is filled from the least filled sector first, fronts before others.
@@ -71,7 +73,6 @@ def select_separated(candidates: DataFrame, quotas: dict[str, int], separation:
     order = [F.desc("front") if front_bonus else F.lit(0), F.desc("segments"), F.desc("second"), F.asc("cand_id")]
     band = F.floor(F.col("depth") / (separation / 2))
     w = Window.partitionBy("bucket", "bin_row", "bin_col", band, "sector", "front").orderBy(*order)
-    # within half a separation all candidates exclude each other: the best of a band stands for it
     few = candidates.withColumn("r_", F.row_number().over(w)).where("r_ = 1").drop("r_").withColumn("turn", unit_hash(F.col("bin_row"), F.col("bin_col"), F.lit(seed)))
 
     def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
