@@ -196,7 +196,8 @@ def repeated_passages(
     unchanged) covered by windows of ``window`` words that also start in a document with a smaller id. Windows
     are judged on the input. Null, empty and short texts have none; repeats inside a document, or between rows
     with equal ids, do not count; rows with a null id neither lose nor mark anything; repeated rows stay; an
-    empty table gives no rows; other columns are not read.
+    empty table gives no rows; other columns are not read. An id names one text: rows that share an id are taken
+    as repeats of it (if their texts differ, what is marked for the id is marked in each).
     """
     # columns that are right as they are stay so: an alias in one plan and not in another would part their exchanges
     own = docs.select(*(
