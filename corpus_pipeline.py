@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, decontaminate, language_id, line_dedup, simhash
-from gridloom.llm.common import table
+from gridloom.llm import bpe, decontaminate, language_id, line_dedup, simhash, word_sets
+from gridloom.llm.common import connected_components, table
 from gridloom.llm.queries import remainder, vocabulary
 from gridloom.shipping import ship
 
@@ -26,9 +26,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id stays; words by fives, 61 of 64 bits alike."""
-    groups = simhash.near_duplicates(docs, words=5, max_bits=3).select(F.col("doc_id").alias("i_"), F.col("component_id").alias("c_"))
-    gone = groups.where("i_ <> c_").select("i_").distinct()
+    """Of each group of near copies the document with the least id stays; words by fives, 61 of 64 bits alike or a
+    Jaccard similarity of 0.8."""
+    groups = simhash.near_duplicates(docs, words=5, max_bits=3).where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    linked = connected_components(groups.union(word_sets.near_copies(docs, words=5, least=0.8)), "a", "b")
+    gone = linked.where("node <> root").select(F.col("node").alias("i_")).distinct()
     return docs.join(gone, docs["doc_id"] == F.col("i_"), "left_anti")
 
 

@@ -323,3 +323,17 @@ def test_no_pipeline_needs_copying(spark, tmp_path):
     assert ids["bpe"] == ids["decontamination"] and all(r.n_tokens > 0 for r in seen["bpe"].values())
     assert Path(corpus_pipeline.__file__).name == "corpus_pipeline.py"
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == ids["bpe"]
+
+
+def test_pipeline_links_near_copies_at_the_required_similarity(spark):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    rows = []
+    for k in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        rows.append((10 * k, " ".join(words)))
+        rows.append((10 * k + 1, " ".join([*words[:60], "other", *words[61:]])))  # five of 116 shingles differ: 0.917
+        rows.append((10 * k + 2, " ".join([*words[:20], "a", *words[21:50], "b", *words[51:80], "c", *words[81:]])))  # 0.771 to the first
+    got = {r.doc_id for r in corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert got == {10 * k + d for k in range(12) for d in (0, 2)}
