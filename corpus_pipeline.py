@@ -21,8 +21,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines are cut from the texts."""
-    return line_dedup.remove_boilerplate(docs).select(*docs.columns)
+    """Boilerplate lines are cut from the texts, but not from whole copies and texts without other lines."""
+    return line_dedup.remove_boilerplate(docs, proven=True).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

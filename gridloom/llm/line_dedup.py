@@ -48,13 +48,14 @@ def boilerplate(docs: DataFrame, site_col: str, text_col: str, min_sites: int) -
 
 def remove_boilerplate(
     docs: DataFrame, min_sites: int = MIN_SITES, copy_share: float = COPY_SHARE, id_col: str = "doc_id",
-    site_col: str = "source", text_col: str = "text",
+    site_col: str = "source", text_col: str = "text", proven: bool = False,
 ) -> DataFrame:
     """``docs`` with boilerplate lines cut from the texts; same rows and columns, and n_lines, n_removed BIGINT.
 
     A line is boilerplate if it stands, without the blanks at its ends, on ``min_sites`` distinct sites or more;
     blank lines never are. A text of whose line bytes ``copy_share`` or more is boilerplate is a copy of a whole
-    page, not a page with boilerplate: it is left as it is, for document-level dedup to judge. Null texts stay
+    page, not a page with boilerplate: it is left as it is, for document-level dedup to judge. With ``proven`` only
+    such a text is left as it is that another row has too, or that has no line of its own. Null texts stay
     null with no lines; an empty text has one blank line; a null site spreads no line; null ids and repeated rows
     stay; an empty table gives no rows. ``n_chars``, where present, follows a changed text. Columns named
     n_lines, n_removed in the input are replaced.
@@ -69,6 +70,14 @@ def remove_boilerplate(
     size = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda n, x: n + F.octet_length(F.btrim(x, F.lit(" \t\r\x0b\x0c"))))
     rest = F.filter(split, lambda x: ~F.coalesce(F.array_contains("marks_", line_key(x)), F.lit(False)))
     few = size(rest) > (1 - copy_share) * size(split)
+    if proven:
+        key = lambda: F.struct(F.xxhash64(text_col).alias("t1"), F.xxhash64(F.lit("text"), text_col).alias("t2"))
+        known = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("j_"), key().alias("t_"))
+        twice = known.groupBy("t_").agg(F.count("*").alias("rows_")).where("rows_ > 1").select("t_")
+        # once an id and text, so that no row of the documents meets two
+        copies = known.join(twice, "t_", "left_semi").groupBy("j_").agg(F.collect_set("t_").alias("copies_"))
+        kept = kept.join(copies, docs[id_col].eqNullSafe(F.col("j_")), "left")
+        few |= (size(rest) > 0) & ~F.coalesce(F.array_contains("copies_", key()), F.lit(False))
     out = kept.withColumn("rest_", F.when(F.col("marks_").isNotNull(), F.when(few, rest)))
     n_lines = F.coalesce(F.size(split), F.lit(0)).cast("long")
     cut = F.col("rest_").isNotNull()

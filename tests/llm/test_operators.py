@@ -337,3 +337,15 @@ def test_pipeline_links_near_copies_at_the_required_similarity(spark):
         rows.append((10 * k + 2, " ".join([*words[:20], "a", *words[21:50], "b", *words[51:80], "c", *words[81:]])))  # 0.771 to the first
     got = {r.doc_id for r in corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
     assert got == {10 * k + d for k in range(12) for d in (0, 2)}
+
+
+def test_pipeline_spares_only_proven_copies_from_line_dedup(spark):
+    import corpus_pipeline
+
+    head = "a long line of licence terms that stands everywhere"
+    rows = [(k, f"{head}\npage number {k} has some longer text of its own, far more than a fifth of it", f"s{k}") for k in range(12)]
+    rows += [(20, f"{head}\nown word", "x"), (21, f"{head}\nsame", "y"), (22, f"{head}\nsame", "z"), (23, head, "x")]
+    docs = docs_of(spark, rows)
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    assert len(got) == len(rows) and got[20] == ("own word", 8) and not any(head in got[k][0] for k in range(12))
+    assert got[21][0] == got[22][0] == f"{head}\nsame" and got[23][0] == head
