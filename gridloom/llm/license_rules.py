@@ -7,7 +7,7 @@ none of a rule's keywords (whole words, parted by a slash) is not matched agains
 
 RULES = """
 mit|1|permission|permission is hereby granted free of charge to any person obtaining a copy of this software
-mit|1|software|the above copyright notice and this permission notice shall be included in all copies or substantial portions
+mit|1|portions|the above copyright notice and this permission notice shall be included in all copies or substantial portions
 mit|1|software|to deal in the software without restriction including without limitation the rights to use copy modify
 mit|2|mit|(?:released|licensed|distributed|available|provided|published) under (?:the )?(?:terms of the )?(?:x11 |expat )?mit licen[sc]e
 mit|2|mit|(?:is|are) mit licensed
@@ -35,17 +35,17 @@ apache|3|apache|(?:the )?apache (?:software )?licen[sc]e
 agpl-3.0|1|affero|gnu affero general public license version 3 19 november 2007
 agpl-3.0|2|affero|gnu affero general public licen[sc]e(?: as published by the free software foundation)?,? (?:either )?version 3
 agpl-3.0|2|agpl/agplv3|spdx license identifier agpl 3 0(?: only| or later)?
-agpl-3.0|2|agpl/agplv3|agpl ?v?3(?: 0)?
+agpl-3.0|2|agpl/agplv3/agpl3|agpl ?v?3(?: 0)?
 agpl|3|affero|(?:gnu )?affero general public licen[sc]e
 agpl|3|agpl/agplv3|agpl(?: licensed?)?
 lgpl-3.0|1|lesser|gnu lesser general public license version 3 29 june 2007
 lgpl-3.0|2|lesser|gnu lesser general public licen[sc]e (?:either )?(?:as published by the free software foundation )?(?:either )?version 3
 lgpl-3.0|2|lgpl/lgplv3/lgplv2|spdx license identifier lgpl 3 0(?: only| or later)?
-lgpl-3.0|2|lgpl/lgplv3/lgplv2|lgpl ?v?3(?: 0)?
+lgpl-3.0|2|lgpl/lgplv3/lgpl3|lgpl ?v?3(?: 0)?
 lgpl-2.1|1|lesser|gnu lesser general public license version 2 1 february 1999
 lgpl-2.1|2|lesser|gnu lesser general public licen[sc]e (?:either )?(?:as published by the free software foundation )?(?:either )?version 2(?: 1)?
 lgpl-2.1|2|lgpl/lgplv3/lgplv2|spdx license identifier lgpl 2 1(?: only| or later)?
-lgpl-2.1|2|lgpl/lgplv3/lgplv2|lgpl ?v?2 1
+lgpl-2.1|2|lgpl/lgplv2/lgpl2|lgpl ?v?2 1
 lgpl-2.0|2|library|gnu library general public licen[sc]e (?:either )?(?:as published by the free software foundation )?(?:either )?version 2
 lgpl|3|lesser|(?:gnu )?lesser general public licen[sc]e
 lgpl|3|library|(?:gnu )?library general public licen[sc]e
@@ -54,12 +54,12 @@ gpl-3.0|1|general|gnu general public license version 3 29 june 2007
 gpl-3.0|1|general|the gnu general public license is a free copyleft license for software and other kinds of works
 gpl-3.0|2|general|(?:gnu )?general public licen[sc]e (?:as published by the free software foundation )?(?:either )?(?:version |v ?)3
 gpl-3.0|2|gpl/gplv3/gplv2|spdx license identifier gpl 3 0(?: only| or later)?
-gpl-3.0|2|gpl/gplv3/gplv2|(?:gnu )?gpl ?v?3(?: 0)?(?: or later)?
+gpl-3.0|2|gpl/gplv3/gpl3|(?:gnu )?gpl ?v?3(?: 0)?(?: or later)?
 gpl-2.0|1|general|gnu general public license version 2 june 1991
 gpl-2.0|1|licenses|the licenses for most software are designed to take away your freedom to share and change it
 gpl-2.0|2|general|(?:gnu )?general public licen[sc]e (?:as published by the free software foundation )?(?:either )?(?:version |v ?)2
 gpl-2.0|2|gpl/gplv3/gplv2|spdx license identifier gpl 2 0(?: only| or later)?
-gpl-2.0|2|gpl/gplv3/gplv2|(?:gnu )?gpl ?v?2(?: 0)?(?: or later)?
+gpl-2.0|2|gpl/gplv2/gpl2|(?:gnu )?gpl ?v?2(?: 0)?(?: or later)?
 gpl-1.0|2|general|(?:gnu )?general public licen[sc]e (?:version |v ?)1
 gpl|2|general|free software you can redistribute it and or modify it under the terms of the gnu general public license
 gpl|3|general|(?:gnu )?general public licen[sc]e
@@ -89,15 +89,15 @@ isc|2|isc|spdx license identifier isc
 isc|3|isc|(?:the )?isc licen[sc]e
 mpl-2.0|1|mozilla|this source code form is subject to the terms of the mozilla public license v 2 0
 mpl-2.0|2|mozilla|mozilla public licen[sc]e (?:version |v ?)?2(?: 0)?
-mpl-2.0|2|mpl/mplv2|(?:spdx license identifier )?mpl ?v?2(?: 0)?
+mpl-2.0|2|mpl/mplv2/mpl2|(?:spdx license identifier )?mpl ?v?2(?: 0)?
 mpl-1.1|2|mozilla|mozilla public licen[sc]e (?:version |v ?)?1 1
 mpl-1.1|2|mpl/mplv2|(?:spdx license identifier )?mpl 1 1
 mpl-1.0|2|mozilla|mozilla public licen[sc]e (?:version |v ?)?1 0
 mpl|3|mozilla|mozilla public licen[sc]e
 epl-2.0|2|eclipse|eclipse public licen[sc]e (?:version |v ?)?2(?: 0)?
-epl-2.0|2|epl/eplv1/eplv2|(?:spdx license identifier )?epl ?v?2(?: 0)?
+epl-2.0|2|epl/eplv2/epl2|(?:spdx license identifier )?epl ?v?2(?: 0)?
 epl-1.0|2|eclipse|eclipse public licen[sc]e (?:version |v ?)?1(?: 0)?
-epl-1.0|2|epl/eplv1/eplv2|(?:spdx license identifier )?epl ?v?1(?: 0)?
+epl-1.0|2|epl/eplv1/epl1|(?:spdx license identifier )?epl ?v?1(?: 0)?
 epl|3|eclipse|eclipse public licen[sc]e
 edl-1.0|2|eclipse|eclipse distribution licen[sc]e(?: (?:version |v ?)?1 0)?
 cddl-1.1|2|development|common development and distribution licen[sc]e (?:version |v ?)?1 1
@@ -108,7 +108,7 @@ cpl-1.0|2|common|common public licen[sc]e(?: (?:version |v ?)?1 0)?
 ipl-1.0|2|ibm|ibm public licen[sc]e(?: (?:version |v ?)?1 0)?
 eupl-1.2|2|european|european union public licen[sc]e (?:version |v ?)?1 2
 eupl-1.1|2|european|european union public licen[sc]e (?:version |v ?)?1 1
-eupl-1.2|2|eupl/euplv1|eupl ?v?1 2
+eupl-1.2|2|eupl/euplv1/eupl1|eupl ?v?1 2
 eupl|3|european|european union public licen[sc]e
 eupl|3|eupl/euplv1|eupl
 cecill-2.1|2|cecill|cecill (?:version |v ?)?2 1
@@ -134,7 +134,7 @@ boost-1.0|3|boost|boost licen[sc]e
 bsl-1.1|2|business|business source licen[sc]e(?: (?:version |v ?)?1 1)?
 bsl-1.1|2|busl|(?:spdx license identifier )?busl 1 1
 sspl-1.0|2|server|server side public licen[sc]e(?: (?:version |v ?)?1)?
-sspl-1.0|3|sspl/ssplv1|sspl(?: ?v?1(?: 0)?)?
+sspl-1.0|3|sspl/ssplv1/sspl1|sspl(?: ?v?1(?: 0)?)?
 elastic-2.0|2|elastic|elastic licen[sc]e (?:version |v ?)?2(?: 0)?
 elastic|3|elastic|elastic licen[sc]e
 commons-clause|2|clause|commons clause(?: licen[sc]e condition)?(?: v?1 0)?
@@ -199,8 +199,8 @@ cdla-sharing|2|cdla|cdla sharing(?: 1 0)?
 cdla-permissive|2|community|community data licen[sc]e agreement permissive
 ogl-3.0|2|government|open government licen[sc]e (?:version |v ?)?3(?: 0)?
 ogl|3|government|open government licen[sc]e
-etalab-2.0|2|etalab|(?:etalab )?licence ouverte(?: (?:version |v ?)?2 0)?
-cc0-1.0|1|waive|to the extent possible under law .{1,80}? has waived all copyright
+etalab-2.0|2|ouverte|(?:etalab )?licence ouverte(?: (?:version |v ?)?2 0)?
+cc0-1.0|1|waived|to the extent possible under law .{1,80}? has waived all copyright
 cc0-1.0|2|cc0|(?:creative commons )?cc0(?: 1 0)?(?: universal)?
 cc0-1.0|2|zero|creative commons zero(?: (?:version |v ?)?1 0)?
 cc-by-nc-nd-4.0|2|cc|cc by nc nd 4 0
@@ -235,12 +235,12 @@ creative-commons|3|creative|creative commons(?: licen[sc]e)?
 public-domain|2|domain|(?:released|dedicated|placed) (?:in|in ?to|to) the public domain
 public-domain|3|domain|public domain
 proprietary|1|proprietary|this (?:software|document|file|material) is (?:the )?(?:confidential and )?proprietary
-proprietary|1|redistribution|(?:unauthorized|unauthorised) (?:copying|use|redistribution|reproduction) .{0,60}?(?:is )?strictly prohibited
+proprietary|1|prohibited|(?:unauthorized|unauthorised) (?:copying|use|redistribution|reproduction) .{0,60}?(?:is )?strictly prohibited
 proprietary|2|reserved|all rights reserved
 proprietary|3|confidential|proprietary and confidential
 proprietary|3|confidential|confidential and proprietary
-openrail-m|2|openrail/rail/railm|(?:creativeml |bigscience )?open ?rail ?m?(?: licen[sc]e)?
-openrail-m|2|rail|responsible ai licen[sc]e
+openrail-m|2|openrail/openrailm/rail/railm|(?:creativeml |bigscience )?open ?rail ?m?(?: licen[sc]e)?
+openrail-m|2|responsible|responsible ai licen[sc]e
 llama|2|llama|llama [23](?: [0-9])? community licen[sc]e
 gemma|2|gemma|gemma terms of use
 freeware|3|freeware|freeware
@@ -249,6 +249,6 @@ dual|2|dual|dual licensed under
 licence-ref|3|license|see (?:the )?license (?:file|txt|md)?(?: for)?
 licence-ref|3|license|spdx license identifier
 licence-ref|3|copying|see (?:the )?(?:file )?copying
-warranty|3|warranty|without warrant(?:y|ies) of any kind
+warranty|3|warranty/warranties|without warrant(?:y|ies) of any kind
 warranty|3|warranty|provided as is without warranty
 """

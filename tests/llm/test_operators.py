@@ -349,3 +349,28 @@ def test_pipeline_spares_only_proven_copies_from_line_dedup(spark):
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.lines(spark, docs, "").collect()}
     assert len(got) == len(rows) and got[20] == ("own word", 8) and not any(head in got[k][0] for k in range(12))
     assert got[21][0] == got[22][0] == f"{head}\nsame" and got[23][0] == head
+
+
+def test_license_gate_is_implied_by_every_regex(spark):
+    from re import _parser
+
+    def texts(items):
+        out = [""]
+        for op, av in items:
+            op = str(op)
+            if op in ("MAX_REPEAT", "MIN_REPEAT"):
+                alts = ([""] if av[0] == 0 else []) + texts(av[2])
+            else:
+                alts = {
+                    "LITERAL": lambda av: [chr(av)], "ANY": lambda av: ["x"], "BRANCH": lambda av: [s for b in av[1] for s in texts(b)],
+                    "IN": lambda av: [chr(v if str(o) == "LITERAL" else v[0]) for o, v in av], "SUBPATTERN": lambda av: texts(av[3]),
+                    "ASSERT": lambda av: [""], "ASSERT_NOT": lambda av: [""],
+                }[op](av)
+            out = [a + b for a in out for b in alts]
+        return out
+
+    missed = [(label, t) for label, _, keys, rx in licenses.rules() for t in texts(_parser.parse(rx)) if not set(keys) & set(t.split())]
+    assert missed == []
+    rows = [(k, t, "s") for k, t in enumerate(("licensed under GPL3", "without warranties of any kind", "Unauthorized copying of it is strictly prohibited", "licence ouverte"))]
+    got = {r.doc_id: list(r.labels) for r in licenses.scan_licenses(docs_of(spark, rows)).collect()}
+    assert got == {0: ["gpl-3.0"], 1: ["warranty"], 2: ["proprietary"], 3: ["etalab-2.0"]}
