@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import sector, unit_hash
+from .spatial import durable
 
 
 def one():
@@ -61,59 +62,72 @@ def select_separated(candidates: DataFrame, quotas: dict[str, int], separation:
     """Candidate ids chosen by quota, spread over bins and sectors, apart in depth.
 
     ``candidates``: (cand_id, bucket, bin_row, bin_col, depth, segments, second, front, sector). In a bin no two
-    chosen seeds are nearer in depth than ``separation``; that list is shared by all buckets and the choice is
-    sequential by nature, so it runs in one task. To bound that task's input, candidates are thinned before: of
-    those of one bin, bucket, sector and front flag within a depth band of half the separation, of which no two
-    could both be chosen, the best one stands for all. So what comes in grows with bins, not with candidates; a
-    lesser candidate of a band is not tried where the best one turns out to be too near to another band's.
-
-    First each bucket takes its quota bin by bin in turn; a rejected candidate does not use up its bin's turn.
-    What quotas leave open is filled from the least filled sector first, fronts before others.
+    chosen seeds are nearer in depth than ``separation``; that list is shared by all buckets.
+
+    First each bucket takes its quota bin by bin in turn; a rejected candidate does not use up its bin's turn. What a
+    bin accepts depends on that bin alone, so bins are gone through in parallel, each sorted and streamed, and the
+    first of all by round and turn are the bucket's. What quotas leave open is filled from the least filled sector
+    first, fronts before others; candidates too near to what is kept never come, and each sector's best are fetched
+    anew when they run out. So the driver holds some quotas' worth of candidates, and none is left out untried.
     """
     order = [F.desc("front") if front_bonus else F.lit(0), F.desc("segments"), F.desc("second"), F.asc("cand_id")]
-    band = F.floor(F.col("depth") / (separation / 2))
-    w = Window.partitionBy("bucket", "bin_row", "bin_col", band, "sector", "front").orderBy(*order)
-    few = candidates.withColumn("r_", F.row_number().over(w)).where("r_ = 1").drop("r_").withColumn("turn", unit_hash(F.col("bin_row"), F.col("bin_col"), F.lit(seed)))
-
-    def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        all_of = pd.concat(list(frames))
-        if all_of.empty:
-            return
-        all_of = all_of.sort_values(["front", "segments", "second", "cand_id"] if front_bonus else ["segments", "second", "cand_id"], ascending=[False] * (3 if front_bonus else 2) + [True])
-        kept: dict[tuple, list[float]] = {}
-        chosen: list[int] = []
-        sectors = np.zeros(8, int)
-
-        def take(c) -> bool:
-            depths = kept.setdefault((c.bin_row, c.bin_col), [])
-            if any(abs(c.depth - d) < separation for d in depths):
-                return False
-            depths.append(c.depth)
-            chosen.append(c.cand_id)
-            sectors[int(c.sector)] += 1
-            return True
-
-        for bucket, quota in quotas.items():
-            queues = [list(g.itertuples()) for _, g in sorted(all_of[all_of.bucket == bucket].groupby(["turn", "bin_row", "bin_col"]), key=lambda x: x[0])]
-            n = 0
-            while n < quota and any(queues):
-                for q in queues:
-                    while q and n < quota:
-                        if take(q.pop(0)):
-                            n += 1
-                            break
-        open_slots = sum(quotas.values()) - len(chosen)
-        used = set(chosen)
-        rest = {s: list(g.itertuples()) for s, g in all_of[~all_of.cand_id.isin(used)].groupby("sector")}
-        while open_slots > 0 and any(rest.values()):
-            s = min((s for s in rest if rest[s]), key=lambda s: (sectors[int(s)], s))
-            while rest[s]:
-                if take(rest[s].pop(0)):
-                    open_slots -= 1
+    spark = candidates.sparkSession
+    pool = durable(candidates.withColumn("turn", unit_hash(F.col("bin_row"), F.col("bin_col"), F.lit(seed))))
+    kept: dict[tuple, list[float]] = {}
+    chosen: list[tuple] = []
+    sectors = np.zeros(8, int)
+
+    def near(depth: float, depths: Iterable[float]) -> bool:
+        return any(abs(depth - d) < separation for d in depths)
+
+    def keep(c) -> None:
+        kept.setdefault((c.bin_row, c.bin_col), []).append(c.depth)
+        chosen.append((c.cand_id, c.bin_row, c.bin_col, c.depth))
+        sectors[int(c.sector)] += 1
+
+    for bucket, quota in quotas.items():
+        held = {k: list(v) for k, v in kept.items()}
+
+        def accepted(frames: Iterable[pd.DataFrame], held: dict = held, quota: int = quota) -> Iterator[pd.DataFrame]:
+            at, depths, n = None, [], 0
+            for f in frames:
+                take = []
+                for c in f.itertuples():
+                    if (c.bin_row, c.bin_col) != at:
+                        at, n = (c.bin_row, c.bin_col), 0
+                        depths = list(held.get(at, ()))
+                    ok = n < quota and not near(c.depth, depths)
+                    take.append(n if ok else -1)
+                    if ok:
+                        depths.append(c.depth)
+                        n += 1
+                yield f.assign(round=np.array(take, np.int64))[np.array(take, np.int64) >= 0]
+
+        rows = pool.where(F.col("bucket") == bucket).select("cand_id", "bin_row", "bin_col", F.col("depth").cast("double").alias("depth"), "sector", "turn", "front", "segments", "second")
+        rows = rows.repartition("bin_row", "bin_col").sortWithinPartitions("turn", "bin_row", "bin_col", *order).drop("front", "segments", "second")
+        found = rows.mapInPandas(accepted, "cand_id long, bin_row long, bin_col long, depth double, sector int, turn double, round long")
+        for c in found.orderBy("round", "turn", "bin_row", "bin_col").limit(quota).collect():
+            keep(c)
+    total, more = sum(quotas.values()), True
+    while more and len(chosen) < total:
+        size = max(64, total - len(chosen))
+        taken = F.broadcast(spark.createDataFrame(chosen, "i_ long, r_ long, c_ long, d_ double"))  # no more than the quotas
+        rest = pool.join(taken, (F.col("cand_id") == F.col("i_")) | ((F.col("bin_row") == F.col("r_")) & (F.col("bin_col") == F.col("c_")) & (F.abs(F.col("depth") - F.col("d_")) < separation)), "left_anti")
+        best = rest.withColumn("n_", F.row_number().over(Window.partitionBy("sector").orderBy(*order))).where(F.col("n_") <= size)
+        queues: dict[int, list] = {}
+        for c in best.select("cand_id", F.col("bin_row").cast("long").alias("bin_row"), F.col("bin_col").cast("long").alias("bin_col"), F.col("depth").cast("double").alias("depth"), "sector", "n_").orderBy(F.desc("n_")).collect():
+            queues.setdefault(c.sector, []).append(c)
+        full = {s for s, q in queues.items() if len(q) == size}
+        more = False
+        while len(chosen) < total and any(queues.values()) and not more:
+            s = min((s for s in queues if queues[s]), key=lambda s: (sectors[int(s)], s))
+            while queues[s]:
+                c = queues[s].pop()
+                if not near(c.depth, kept.get((c.bin_row, c.bin_col), ())):
+                    keep(c)
                     break
-        yield pd.DataFrame({"cand_id": np.array(chosen, np.int64), "position": np.arange(len(chosen), dtype=np.int64)})
-
-    return few.coalesce(1).mapInPandas(choose, "cand_id long, position long")
+            more = s in full and not queues[s]
+    return spark.createDataFrame([(c[0], k) for k, c in enumerate(chosen)], "cand_id long, position long")
 
 
 def with_sector(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -149,3 +149,39 @@ def test_package_round_trip(spark, tmp_path):
 def test_colour_table(spark, tmp_path):
     (tmp_path / "c.rgb").write_text("ncolors=2\n# r g b\n0 0 0\n255 51 0\n")
     assert [(r.r, r.g) for r in package.colour_table(spark, str(tmp_path / "c.rgb")).orderBy("i").collect()] == [(0.0, 0.0), (1.0, 0.2)]
+
+
+def test_selection_is_the_plain_greedy_one(spark):
+    from gridloom.functions.geometry import unit_hash
+
+    rng = random.Random(2)
+    rows = [(k, rng.choice("ab"), rng.randrange(3), rng.randrange(3), rng.uniform(0, 900), rng.randrange(50), 0.0, rng.random() < 0.3, rng.randrange(8)) for k in range(600)]
+    c = spark.createDataFrame(rows, "cand_id long, bucket string, bin_row int, bin_col int, depth double, segments int, second double, front boolean, sector int")
+    turn = {(r.bin_row, r.bin_col): r.t for r in c.select("bin_row", "bin_col", unit_hash(F.col("bin_row"), F.col("bin_col"), F.lit(0)).alias("t")).distinct().collect()}
+    for quotas in ({"a": 12, "b": 12}, {"a": 40, "b": 4}, {"a": 3, "none": 30}):
+        kept, chosen, sectors = {}, [], [0] * 8
+
+        def take(r, kept=kept, chosen=chosen, sectors=sectors):
+            depths = kept.setdefault(r[2:4], [])
+            if any(abs(r[4] - d) < 120 for d in depths):
+                return False
+            depths.append(r[4])
+            chosen.append(r[0])
+            sectors[r[8]] += 1
+            return True
+
+        ranked = sorted(rows, key=lambda r: (-r[7], -r[5], -r[6], r[0]))
+        for bucket, quota in quotas.items():
+            queues, n = [[r for r in ranked if r[1] == bucket and r[2:4] == b] for b in sorted(turn, key=turn.get)], 0
+            while n < quota and any(queues):
+                for q in queues:
+                    while q and n < quota:
+                        if take(q.pop(0)):
+                            n += 1
+                            break
+        rest = {s: [r for r in ranked if r[8] == s and r[0] not in set(chosen)] for s in range(8)}
+        while len(chosen) < sum(quotas.values()) and any(rest.values()):
+            s = min((s for s in rest if rest[s]), key=lambda s: (sectors[s], s))
+            while rest[s] and not take(rest[s].pop(0)):
+                pass
+        assert [r.cand_id for r in select.select_separated(c, quotas).orderBy("position").collect()] == chosen
