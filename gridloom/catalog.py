@@ -541,7 +541,7 @@ def poisson_disk_sample(spark, sf_dir):
 
 @query()
 def block_scatter_sample(spark, sf_dir):
-    return spatial.scattered(field(spark, sf_dir), 200, 10_000, "n", 7)
+    return spatial.scattered(field(spark, sf_dir), 200, "n", 7)
 
 
 # interpolation ---------------------------------------------------------------------------------------------------

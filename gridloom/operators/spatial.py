@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
@@ -114,16 +115,28 @@ def sector_counts(points: DataFrame, x: Column, y: Column) -> DataFrame:
     return points.sparkSession.range(8).select(F.col("id").cast("int").alias("sector")).join(got, "sector", "left").select("sector", F.coalesce("count", F.lit(0)).alias("count"))
 
 
-def scattered(cells: DataFrame, target: int, valid: int, weight: str | None, seed: int) -> DataFrame:
-    """One cell a block, drawn at random or by weight ** 1.5; blocks are spaced for about ``target`` picks.
+def scattered(cells: DataFrame, target: int, weight: str | None, seed: int) -> DataFrame:
+    """``target`` cells, or all if there are fewer: one cell a block, at random or by weight ** 1.5, in two to
+    eight passes with blocks at random offsets, and what is still missing in hash order.
 
-    A draw by weight is the least exponential variate, -log(u) / w, of a block: an aggregate, not a sort.
+    A draw by weight is the least exponential variate, -log(u) / w, of a block: an aggregate, not a sort. Cells
+    without a weight count only in blocks that have no other.
     """
+    valid = cells.count()
     side = max(2, round(math.sqrt(valid / max(1, target))))
-    u = F.greatest(unit_hash(F.col("row"), F.col("col"), F.lit(seed)), F.lit(1e-15))
-    w = F.pow(F.greatest(F.col(weight).cast("double"), F.lit(1e-12)), F.lit(1.5)) if weight else F.lit(1.0)
-    pick = F.min_by(F.struct("row", "col"), F.struct((-F.log(u) / w).alias("d"), "row", "col")).alias("c")
-    return bins(cells, side).groupBy("bin_row", "bin_col").agg(pick).select("c.*")
+    passes = max(2, min(8, math.ceil(target / max(1, valid / side**2))))
+    rng = random.Random(seed)
+    offset = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(rng.randrange(side)).alias("r"), F.lit(rng.randrange(side)).alias("c")) for p in range(passes)))
+    spread = cells.withColumn("o_", F.explode(offset)).where((F.col("row") >= F.col("o_.r")) & (F.col("col") >= F.col("o_.c")))
+    u = F.greatest(unit_hash(F.col("row"), F.col("col"), F.col("o_.p"), F.lit(seed)), F.lit(1e-15))
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    some = F.coalesce((w > 0) & (w < float("inf")), F.lit(False))
+    draw = F.struct((~some).alias("none"), (-F.log(u) / F.when(some, F.pow(w, F.lit(1.5))).otherwise(1.0)).alias("d"), "row", "col")
+    place = F.struct("pass", "block_row", "block_col")
+    picked = spread.groupBy(F.col("o_.p").alias("pass"), F.floor((F.col("row") - F.col("o_.r")) / side).alias("block_row"), F.floor((F.col("col") - F.col("o_.c")) / side).alias("block_col")).agg(F.min_by(F.struct("row", "col"), draw).alias("c"))
+    first = picked.groupBy("c.row", "c.col").agg(F.min(place).alias("at"))
+    ranked = cells.select("row", "col").distinct().join(first, ["row", "col"], "left")
+    return ranked.orderBy(F.col("at").isNull(), "at", unit_hash(F.col("row"), F.col("col"), F.lit(seed)), "row", "col").limit(max(0, target)).select("row", "col")
 
 
 def poisson_disk(cells: DataFrame, radius: int, seed: int) -> DataFrame:

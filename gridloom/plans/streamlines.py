@@ -49,7 +49,7 @@ def seeds(masks: dict[str, DataFrame], buckets: DataFrame, column: DataFrame, ta
     for name, b in sorted(quota.items()):
         room = masks[b.mask_name].join(column, ["row", "col"]).where(F.col("bottom") - F.col("top") >= b.min_total_depth_m)
         want = int(target * b.retain_fraction * b.candidate_factor) + 1
-        got = spatial.scattered(room, want, room.count(), None, seed).join(column, ["row", "col"])
+        got = spatial.scattered(room, want, None, seed).join(column, ["row", "col"])
         got = got.withColumn("seed_id", F.pmod(F.xxhash64("row", "col", F.lit(name)), F.lit(1 << 53)))
         deep = trace.seed_depths(got, "seed_id", "top", "bottom", b.depth_low, b.depth_high, draws=1, seed=seed)
         part = deep.select("seed_id", F.lit(name).alias("bucket"), F.col("col").cast("double").alias("x"), F.col("row").cast("double").alias("y"), "depth")

@@ -185,3 +185,10 @@ def test_selection_is_the_plain_greedy_one(spark):
             while rest[s] and not take(rest[s].pop(0)):
                 pass
         assert [r.cand_id for r in select.select_separated(c, quotas).orderBy("position").collect()] == chosen
+
+
+def test_scattered_reaches_its_target(spark):
+    xs = {(a, b) for a in range(9) for b in range(9)}
+    for target in (7, 36, 60, 81, 100):
+        got = [(r.row, r.col) for r in spatial.scattered(cells(spark, xs), target, None, 3).collect()]
+        assert len(got) == len(set(got)) == min(target, 81) and set(got) <= xs
