@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import sector, unit_hash
-from .spatial import durable
+from ..shipping import durable
 
 
 def one():

@@ -4,21 +4,12 @@ from __future__ import annotations
 
 import math
 import random
-import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import sector, unit_hash
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Checkpointed to the shared folder, so that a loop's plan stays short and lost executors do no harm."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-"))
-    out = df.checkpoint()
-    return out.select(*(F.col(c).alias(c) for c in out.columns))
+from ..shipping import durable
 
 
 def bin_size(valid: int, target: int, low: int = 6, high: int = 12) -> int:

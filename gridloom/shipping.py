@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _sent: set[str] = set()
-
-
 ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -33,3 +33,24 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(path)
         _sent.add(sc.applicationId)
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, which ``spark.checkpoint.dir`` names. A session on one machine may
+    leave it unset and gets a temporary one; on a cluster that is an error, as its machines share no such folder."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        path = tempfile.mkdtemp(prefix="gridloom-")
+    return path
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and cut from its lineage; survives lost executors."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    out = df.checkpoint()
+    # as other columns than those of ``df``, so that it may be joined to what it came from
+    return out.select(*(F.col(f"`{c}`").alias(c) for c in out.columns))
