@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -13,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship
+from ..shipping import durable, ship  # noqa: F401
 
 #: Upper-case to lower-case for A-Z alone and every separator to a blank: one C-level pass gives the words
 #: ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` of UTF-8 text.
@@ -30,17 +29,6 @@ def alnum_words(text: str | None) -> list[bytes]:
     return text.encode().translate(WORD_TABLE).split() if text else []
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and cut from its lineage; survives lost executors."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-ckpt-"))
-    out = df.checkpoint()
-    # as other columns than those of ``df``, so that it may be joined to what it came from
-    return out.select(*(F.col(f"`{c}`").alias(c) for c in out.columns))
-
-
 def text_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each holds about ``limit`` bytes of ``column``, or one row."""
     for batch in batches:

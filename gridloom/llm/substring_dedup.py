@@ -1,16 +1,16 @@
 """Repeated passages by suffix trees over prefix-partitioned, memory-sized groups of suffixes.
 
-1. Anchors. In each document the window minimiser (the least hash of the ``prefix``-word grams of a window)
-   picks the suffixes that are indexed; equal windows pick the same one. Only anchors whose gram stands in two
-   documents or more can lie in a repeat; the others, most of a corpus, go no further. This loses no repeat.
-2. Groups. Suffixes are dealt by the gram they start with, a prefix of ``prefix`` words. A prefix with more than
-   ``group`` suffixes is extended to the full window, where its group is a single tree node.
-3. Trees. In a group, the suffixes are sorted and their longest common prefixes taken, which is the suffix tree
-   in another form: a stretch whose common prefixes reach the window is a deep internal node, and the text of
-   its path is a repeat. A node of a long prefix may be of any size: its places are packed on the map side, and
-   stream by in order of document, so that the first has the least one.
-4. Every suffix below a deep node that also has a smaller document is marked; marks that overlap or touch join
-   to the maximal repeated passages.
+1. Prefixes. A window of words is dealt by a gram that it holds: the least by hash of its grams of ``lengths[0]``
+   words, so that equal windows are dealt alike and neighbours mostly together (a window minimiser). A gram of which
+   one document alone has windows can't lie in a repeat and goes no further; this loses none. A gram with more than
+   ``group`` places is too large for one tree: its windows are dealt again by their least gram of the next length,
+   and what is still too large at the last length by the whole window. So prefixes lengthen until a group fits.
+2. Trees. In a group, the suffixes that start at a window are sorted, and the common prefixes of neighbours computed:
+   the suffix tree in array form. A stretch of neighbours whose common prefixes reach ``window`` words is what hangs
+   below a deep internal node; of its leaves those go that have a smaller document beside them.
+3. Whole windows. A prefix as long as the window is one deep node, of any size. Its least document is a minimum
+   combined on the map side and joined back, so its places are never gathered.
+4. Marks that overlap or touch join to the maximal repeated passages.
 
 Copies of a whole text take part once, through the smallest document that has it.
 """
@@ -23,15 +23,16 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, text_slices
 
 WINDOW = 13  # words of a repeat, at least
-PREFIX = 4  # words of a short prefix
-GROUP = 4096  # suffixes with one short prefix, at most; some MB of text
-SLICE = 8 << 20  # bytes of text whose anchors and nodes are packed together
+LENGTHS = (4, 8)  # words of a prefix, step by step
+GROUP = 4096  # places of a prefix, at most; some MB of text
+SLICE = 8 << 20  # bytes of text whose places are packed together
+LEAVES = 40_000  # suffixes that are sorted at once, beyond one group
 
 
 def word_list(text: str | None) -> list[bytes]:
@@ -61,132 +62,192 @@ def picks(h: np.ndarray, n: int) -> np.ndarray:
     return out + np.arange(len(out))
 
 
-def anchor_rows(docs: DataFrame, window: int, prefix: int) -> DataFrame:
-    """(gram, doc_id, more, places): the documents that each anchor stands in, and how often it does in all; a
-    batch's documents share a row."""
+def dealt(words: list[bytes], window: int, lengths: tuple[int, ...], live: list[dict[int, bool]]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(level, gram length, first window, last window, gram) for each length: the stretches of windows that come to
+    it and the gram that each is dealt by. ``live``: by length, whether a gram is too large; dead grams are left out.
+    """
+    todo = np.ones(max(0, len(words) - window + 1), bool)
+    for level, n in enumerate(lengths):
+        if not todo.any():
+            return
+        h = grams(words, n)
+        p = picks(h, window - n + 1)
+        first = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (todo[1:] != todo[:-1])])
+        last = np.r_[first[1:], len(p)] - 1
+        first, last = first[todo[first]], last[todo[first]]
+        gram = h.view(np.int64)[p[first]]
+        yield level, n, first, last, gram
+        todo = np.zeros(len(p), bool)
+        if level < len(live):
+            known = live[level].get
+            for f, z, g in zip(first.tolist(), last.tolist(), gram.tolist(), strict=True):
+                if known(g):
+                    todo[f:z + 1] = True
+    if todo.any():
+        at = np.flatnonzero(todo)
+        yield len(lengths), window, at, at, at
+
+
+def live_grams(batch: pa.RecordBatch, levels: int) -> list[list[dict[int, bool]]]:
+    """By row and length: the live grams, and whether each is too large."""
+    lists = [[batch.column(f"{kind}{k}").to_pylist() for kind in ("cool", "hot")] for k in range(levels)]
+    return [[dict.fromkeys(c[row] or (), False) | dict.fromkeys(h[row] or (), True) for c, h in lists] for row in range(batch.num_rows)]
+
+
+def gram_rows(docs: DataFrame, window: int, lengths: tuple[int, ...]) -> DataFrame:
+    """(gram, r, more, places) at the last of ``lengths``: the rows that each gram has windows in, and how many
+    places it has in all; a slice's rows share a row. ``docs``: (r, text), and the live grams of shorter lengths."""
+    level = len(lengths) - 1
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, "text", SLICE):
-            ids, found, often = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                h = grams(word_list(text), prefix)
-                g, n = np.unique(h[np.unique(picks(h, window - prefix + 1))], return_counts=True)
-                found.append(g)
-                often.append(n)
-                ids.append(np.full(len(g), i, np.int64))
-            gram, doc, n = np.concatenate(found).view(np.int64), np.concatenate(ids), np.concatenate(often)
+            ids, found, often = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for r, text, live in zip(b.column("r").to_pylist(), b.column("text").to_pylist(), live_grams(b, level), strict=True):
+                for at, _, _, _, gram in dealt(word_list(text), window, lengths, live):
+                    if at == level:
+                        g, n = np.unique(gram, return_counts=True)
+                        found.append(g)
+                        often.append(n)
+                        ids.append(np.full(len(g), r, np.int64))
+            gram, row, n = np.concatenate(found), np.concatenate(ids), np.concatenate(often)
             order = np.argsort(gram, kind="stable")
-            gram, doc = gram[order], doc[order]
+            gram, row = gram[order], row[order]
             head = np.r_[True, gram[1:] != gram[:-1]][:len(gram)]
             rest = np.diff(np.r_[np.flatnonzero(head), len(gram)]) - 1
-            more = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(rest)], pa.int32()), pa.array(doc[~head]))
+            more = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(rest)], pa.int32()), pa.array(row[~head]))
             places = np.add.reduceat(n[order], np.flatnonzero(head)) if len(gram) else n
-            yield pa.record_batch([pa.array(gram[head]), pa.array(doc[head]), more, pa.array(places, pa.int32())], names=["gram", "doc_id", "more", "places"])
+            yield pa.record_batch([pa.array(gram[head]), pa.array(row[head]), more, pa.array(places, pa.int32())], names=["gram", "r", "more", "places"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "gram long, doc_id long, more array<long>, places int")
+    lists = [f"{kind}{k}" for k in range(level) for kind in ("cool", "hot")]
+    return docs.select("r", "text", *lists).mapInArrow(run, "gram long, r long, more array<long>, places int")
 
 
-def suffixes(docs: DataFrame, window: int, prefix: int) -> DataFrame:
-    """(key, path, doc_id, pos, seg): the stretches of text around each live anchor, by prefix.
+def with_live_grams(docs: DataFrame, window: int, lengths: tuple[int, ...], group: int) -> DataFrame:
+    """``docs`` with cool{k} and hot{k} ARRAY<BIGINT>, the live grams of the last length within their group and over
+    it. How many places a gram has is counted on the map side; the rows that have it are listed only if it is live."""
+    k = len(lengths) - 1
+    rows = gram_rows(docs if k == 0 else docs.where(F.size(f"hot{k - 1}") > 0), window, lengths)
+    total = rows.groupBy("gram").agg(F.sum(1 + F.size("more")).alias("rows"), F.sum("places").alias("places"))
+    known = total.where("rows > 1").select("gram", (F.col("places") > group).alias("hot"))
+    listed = rows.select("gram", F.concat(F.array("r"), F.col("more")).alias("rs")).join(known, "gram")
+    # dealt before they are listed: partial lists, one or two grams each, would be most of a shuffle
+    by_row = listed.select(F.explode("rs").alias("r"), "gram", "hot").repartition("r").groupBy("r")
+    mine = by_row.agg(F.collect_set(F.when(~F.col("hot"), F.col("gram"))).alias(f"cool{k}"), F.collect_set(F.when(F.col("hot"), F.col("gram"))).alias(f"hot{k}"))
+    return docs.join(mine, "r", "inner" if k == 0 else "left")
 
-    ``docs`` has its live grams by kind: cool ARRAY<BIGINT>, hot ARRAY<BIGINT>. With a short prefix, key is the gram and seg holds every window
-    that picked the anchor, words joined by a blank, from word pos. With a full-window prefix, key and path are
-    hashes of the window and seg packs its (doc, pos) places in the batch, doc_id being the least document.
-    """
+
+def segments(docs: DataFrame, window: int, lengths: tuple[int, ...]) -> DataFrame:
+    """(key, r, doc_id, pos, seg): the stretches of text whose windows were dealt to a group, words joined by a blank,
+    from word ``pos``. A key is a gram within its group's bound."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, "text", SLICE):
             rows: list[tuple] = []
-            nodes: dict[bytes, list[int]] = {}
-            for i, text, cool, hots in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "cool", "hot")), strict=True):
+            for r, i, text, live in zip(*(b.column(c).to_pylist() for c in ("r", "doc_id", "text")), live_grams(b, len(lengths)), strict=True):
                 words = word_list(text)
-                h = grams(words, prefix)
-                p = picks(h, window - prefix + 1)
-                if not len(p):
-                    continue
-                first = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
-                last = np.r_[first[1:], len(p)] - 1
-                known = dict.fromkeys(cool, False) | dict.fromkeys(hots, True)
-                g = h.view(np.int64)[p[first]].tolist()
-                for f, z, gram in zip(first.tolist(), last.tolist(), g, strict=True):
-                    hot = known.get(gram)
-                    if hot is False:
-                        rows.append((gram, None, i, f, b" ".join(words[f:z + window])))
-                    elif hot:
-                        for k in range(f, z + 1):
-                            path = hashlib.blake2b(b" ".join(words[k:k + window]), digest_size=16).digest()
-                            nodes.setdefault(path, []).extend((i, k))
-            for path, places in nodes.items():
-                rows.append((int.from_bytes(path[:8], "little", signed=True), path, min(places[::2]), 0, np.array(places, np.int64).tobytes()))
+                for level, _, first, last, gram in dealt(words, window, lengths, live):
+                    if level < len(lengths):
+                        known = live[level].get
+                        rows += [(g, r, i, f, b" ".join(words[f:z + window])) for f, z, g in zip(first.tolist(), last.tolist(), gram.tolist(), strict=True) if known(g) is False]
             for k in range(0, len(rows), 20_000):
                 c = [*zip(*rows[k:k + 20_000], strict=True)]
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(c, (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["key", "path", "doc_id", "pos", "seg"])
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(c, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["key", "r", "doc_id", "pos", "seg"])
 
-    return docs.select("doc_id", "text", "cool", "hot").mapInArrow(run, "key long, path binary, doc_id long, pos int, seg binary")
+    lists = [f"{kind}{k}" for k in range(len(lengths)) for kind in ("cool", "hot")]
+    return docs.select("r", "doc_id", "text", *lists).mapInArrow(run, "key long, r long, doc_id long, pos int, seg binary")
 
 
-def suffix_tree_marks(rows: list[tuple[int, int, bytes]], window: int) -> list[tuple[int, int]]:
-    """(doc, pos) of the windows below a deep node that has a smaller document.
+def nodes(docs: DataFrame, window: int, lengths: tuple[int, ...]) -> DataFrame:
+    """(path, least, places ARRAY<STRUCT<r, doc_id, pos>>): the whole windows whose grams are too large at every
+    length, by a 128-bit hash of their words; a slice's places share a row, and ``least`` is its least document."""
+    kind = pa.struct([("r", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(batches, "text", SLICE):
+            found: dict[bytes, list[tuple[int, int, int]]] = {}
+            for r, i, text, live in zip(*(b.column(c).to_pylist() for c in ("r", "doc_id", "text")), live_grams(b, len(lengths)), strict=True):
+                words = word_list(text)
+                for level, _, first, _, _ in dealt(words, window, lengths, live):
+                    for k in first.tolist() if level == len(lengths) else ():
+                        found.setdefault(hashlib.blake2b(b" ".join(words[k:k + window]), digest_size=16).digest(), []).append((r, i, k))
+            paths = [*found]
+            for k in range(0, len(paths), 5_000):
+                part = paths[k:k + 5_000]
+                flat = np.array([x for p in part for x in found[p]], np.int64).reshape(-1, 3)
+                ends = np.cumsum([0, *(len(found[p]) for p in part)])
+                cells = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1]), pa.array(flat[:, 2].astype(np.int32))], fields=list(kind))
+                least = np.minimum.reduceat(flat[:, 1], ends[:-1])
+                yield pa.record_batch([pa.array(part, pa.binary()), pa.array(least), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cells)], names=["path", "least", "places"])
+
+    lists = [f"{kind}{k}" for k in range(len(lengths)) for kind in ("cool", "hot")]
+    return docs.select("r", "doc_id", "text", *lists).mapInArrow(run, "path binary, least long, places array<struct<r:long,doc_id:long,pos:int>>")
 
-    ``rows``: (doc, pos, segment) of one group. The suffixes that start a whole window are sorted by their first
-    ``window`` words, the depth that matters; neighbours whose common prefix reaches it share a node.
+
+def common_prefixes(leaves: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """How many leading columns each row of ``leaves`` shares with the row before it; none across keys."""
+    differ = np.c_[leaves[1:] != leaves[:-1], np.ones(max(0, len(leaves) - 1), bool)]
+    return np.r_[0, np.where(key[1:] == key[:-1], differ.argmax(axis=1), 0)][:len(leaves)]
+
+
+def suffix_tree_marks(rows: list[tuple[int, int, int, int, bytes]], window: int) -> list[tuple[int, int, int, int]]:
+    """(r, doc, pos, n): runs of n suffixes, from word pos on, below a deep node that has a smaller document.
+
+    ``rows``: (key, r, doc, pos, segment) of whole groups. Words are numbered and the suffixes of each group sorted
+    by them; the common prefixes of neighbours say where a node as deep as the window begins and ends.
     """
-    leaves = []
-    for doc, pos, seg in rows:
-        words = seg.split(b" ")
-        leaves += [(words[k:k + window], doc, pos + k) for k in range(len(words) - window + 1)]
-    leaves.sort()
-    out, k = [], 0
-    while k < len(leaves):
-        end = k + 1
-        while end < len(leaves) and leaves[end][0] == leaves[k][0]:
-            end += 1
-        out += [(doc, pos) for _, doc, pos in leaves[k:end] if doc > leaves[k][1]]  # sorted: the first has the least
-        k = end
-    return out
+    number: dict[bytes, int] = {}
+    words = [[number.setdefault(w, len(number)) for w in seg.split(b" ")] for *_, seg in rows]
+    size = np.array([len(w) for w in words])
+    flat = np.concatenate([np.array(w, np.int32) for w in words])
+    count = size - window + 1
+    own = np.repeat(np.arange(len(rows)), count)
+    inner = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+    start = np.repeat(np.cumsum(size) - size, count) + inner
+    leaves = flat[start[:, None] + np.arange(window)]
+    key, doc = np.array([x[0] for x in rows])[own], np.array([x[2] for x in rows])[own]
+    order = np.lexsort((*leaves.T[::-1], key))
+    deep = common_prefixes(leaves[order], key[order]) >= window
+    node = np.flatnonzero(~deep)
+    least = np.repeat(np.minimum.reduceat(doc[order], node), np.diff(np.r_[node, len(order)]))
+    hit = np.zeros(len(order), bool)
+    hit[order] = doc[order] > least
+    begin = np.flatnonzero(hit & np.r_[True, ~hit[:-1] | (own[1:] != own[:-1])])
+    end = np.flatnonzero(hit & np.r_[~hit[1:] | (own[1:] != own[:-1]), True])
+    return [(rows[own[a]][1], rows[own[a]][2], rows[own[a]][3] + int(inner[a]), int(z - a) + 1) for a, z in zip(begin.tolist(), end.tolist(), strict=True)]
 
 
 def tree_marks(found: DataFrame, window: int) -> DataFrame:
-    """(doc_id, pos) of every suffix that repeats an earlier document; a partition's groups stream by, sorted."""
+    """(r, doc_id, pos, n): runs of suffixes that repeat an earlier document; a partition's groups stream by."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
-        now: object = None
-        least = 0
-        out: list[np.ndarray] = []
-
-        def batch() -> pa.RecordBatch:
-            a = np.concatenate([np.zeros((0, 2), np.int64), *out])
-            out.clear()
-            return pa.record_batch([pa.array(a[:, 0]), pa.array(a[:, 1].astype(np.int32))], names=["doc_id", "pos"])
-
-        def close() -> None:
-            if len(held) > 1 and (marks := suffix_tree_marks(held, window)):
-                out.append(np.array(marks, np.int64))
+        held: list[tuple] = []
+        leaves, now = 0, None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if held and (marks := suffix_tree_marks(held, window)):
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*marks, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["r", "doc_id", "pos", "n"])
             held.clear()
 
         for b in batches:
-            for key, path, doc, pos, seg in zip(*(b.column(c).to_pylist() for c in ("key", "path", "doc_id", "pos", "seg")), strict=True):
-                if path is None:
-                    if key != now:
-                        close()
-                        now = key
-                    held.append((doc, pos, seg))
-                else:
-                    if path != now:
-                        close()
-                        now, least = path, doc  # sorted: the node's first row has its least document
-                    places = np.frombuffer(seg, np.int64).reshape(-1, 2)
-                    out.append(places[places[:, 0] > least])
-            if sum(map(len, out)) > 20_000:
-                yield batch()
-        close()
-        if out:
-            yield batch()
-
-    dealt = found.repartition("key").sortWithinPartitions("key", "path", "doc_id")
-    return dealt.mapInArrow(run, "doc_id long, pos int")
+            for row in zip(*(b.column(c).to_pylist() for c in ("key", "r", "doc_id", "pos", "seg")), strict=True):
+                if row[0] != now and leaves > LEAVES:
+                    yield from close()
+                    leaves = 0
+                now = row[0]
+                held.append(row)
+                leaves += row[4].count(b" ") + 2 - window
+        yield from close()
+
+    return found.repartition("key").sortWithinPartitions("key").mapInArrow(run, "r long, doc_id long, pos int, n int")
+
+
+def node_marks(found: DataFrame) -> DataFrame:
+    """(r, doc_id, pos, n): the places of whole-window nodes that have a smaller document."""
+    least = found.groupBy("path").agg(F.min("least").alias("low"))
+    over = F.filter("places", lambda x: x["doc_id"] > F.col("low"))
+    return found.join(least, "path").select(F.explode(over).alias("x")).select("x.*", F.lit(1).alias("n"))
 
 
 def repeated_passages(
-    docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP, id_col: str = "doc_id",
+    docs: DataFrame, window: int = WINDOW, lengths: tuple[int, ...] = LENGTHS, group: int = GROUP, id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """Every row with the passages that repeat an earlier document: doc_id, n_words, n_removed, spans
@@ -195,32 +256,34 @@ def repeated_passages(
     Spans are maximal stretches of words (from 0, end exclusive; words are parted by ASCII white space and
     unchanged) covered by windows of ``window`` words that also start in a document with a smaller id. Windows
     are judged on the input. Null, empty and short texts have none; repeats inside a document, or between rows
-    with equal ids, do not count; rows with a null id neither lose nor mark anything; repeated rows stay; an
-    empty table gives no rows; other columns are not read. An id names one text: rows that share an id are taken
-    as repeats of it (if their texts differ, what is marked for the id is marked in each).
+    with equal ids, do not count; rows that share an id and have different texts are judged each by its own text;
+    rows with a null id neither lose nor mark anything; repeated rows stay, each with the same result; very long
+    texts are taken whole; an empty table gives no rows; other columns are not read.
     """
+    lengths = tuple(sorted({min(n, window) for n in lengths}))
     # columns that are right as they are stay so: an alias in one plan and not in another would part their exchanges
     own = docs.select(*(
         F.col(c) if c == name and docs.schema[c].dataType.simpleString() == kind else F.col(c).cast(kind).alias(name)
         for c, name, kind in ((id_col, "doc_id", "bigint"), (text_col, "text", "string"))))
-    solid = own.where("doc_id is not null and text is not null")
+    # a row is known by a hash of its id and text; where it decides, the id is compared too
+    solid = own.where("doc_id is not null and text is not null").withColumn("r", F.xxhash64("doc_id", "text"))
+    same = F.expr("doc_id ^ own_id = 0")  # not a join key: the texts stay dealt by r alone
     # a text's smallest document speaks for its copies: every window of theirs also starts there
-    sha = solid.select("doc_id", F.unhex(F.sha2("text", 256)).alias("sha"))
-    heads = sha.groupBy("sha").agg(F.min("doc_id").alias("head"))
-    copies = durable(sha.join(heads, "sha").where("head < doc_id").select("doc_id").distinct())
-
-    # every reader of the texts takes them from one exchange by doc_id
-    single = solid.join(copies, "doc_id", "left_anti")
-    by = Window.partitionBy("gram")
-    live = anchor_rows(single, window, prefix).withColumns({"docs": F.sum(1 + F.size("more")).over(by), "n": F.sum("places").over(by)}).where("docs > 1")
-    own_grams = live.select(F.explode(F.concat(F.array("doc_id"), F.col("more"))).alias("doc_id"), "gram", (F.col("n") > group).alias("hot"))
-    # dealt before they are listed: partial lists, one or two grams each, would be most of a shuffle
-    mine = own_grams.repartition("doc_id").groupBy("doc_id").agg(F.collect_list(F.when(~F.col("hot"), F.col("gram"))).alias("cool"), F.collect_list(F.when(F.col("hot"), F.col("gram"))).alias("hot"))
-    marks = tree_marks(suffixes(single.join(mine, "doc_id"), window, prefix), window).groupBy("doc_id").agg(F.collect_list("pos").alias("marks"))
-    facts = marks.select("doc_id", "marks", F.lit(False).alias("copy")).union(copies.select("doc_id", F.lit(None).cast("array<int>"), F.lit(True)))
-    dealt = solid.join(facts.groupBy("doc_id").agg(F.first("marks", True).alias("marks"), F.max("copy").alias("copy")), "doc_id", "left")
-    rest = own.where("doc_id is null or text is null").select("doc_id", "text", F.lit(None).cast("array<int>").alias("marks"), F.lit(False).alias("copy"))
-    return cut(dealt.select("doc_id", "text", "marks", "copy").union(rest), window)
+    sha = solid.select("r", "doc_id", F.unhex(F.sha2("text", 256)).alias("sha"))
+    heads = sha.groupBy("sha").agg(F.min("doc_id").alias("head"), F.count("*").alias("rows")).where("rows > 1").select("sha", "head")
+    copies = durable(sha.join(heads, "sha").where("head < doc_id").select("r", F.col("doc_id").alias("own_id")).distinct())
+
+    # every reader of the texts takes them from one exchange by r
+    kept = solid.join(copies.withColumnRenamed("r", "r_"), (F.col("r") == F.col("r_")) & same, "left_anti")
+    for k in range(len(lengths)):
+        kept = with_live_grams(kept, window, lengths[:k + 1], group)
+    large = durable(nodes(kept.where(F.size(f"hot{len(lengths) - 1}") > 0), window, lengths))
+    marks = tree_marks(segments(kept, window, lengths), window).unionByName(node_marks(large))
+    by_row = marks.groupBy("r", F.col("doc_id").alias("own_id")).agg(F.collect_set(F.struct("pos", "n")).alias("marks"))
+    facts = by_row.select("r", "own_id", "marks", F.lit(False).alias("copy")).union(copies.select("r", "own_id", F.lit(None).cast("array<struct<pos:int,n:int>>"), F.lit(True)))
+    joined = solid.join(facts.withColumnRenamed("r", "r_"), (F.col("r") == F.col("r_")) & same, "left").select("doc_id", "text", "marks", "copy")
+    rest = own.where("doc_id is null or text is null").select("doc_id", "text", F.lit(None).cast("array<struct<pos:int,n:int>>").alias("marks"), F.lit(False).alias("copy"))
+    return cut(joined.union(rest), window)
 
 
 def cut(dealt: DataFrame, window: int) -> DataFrame:
@@ -232,9 +295,11 @@ def cut(dealt: DataFrame, window: int) -> DataFrame:
                 words = word_list(text)
                 total.append(len(words))
                 hit = np.zeros(len(words) + 1, np.int64)
-                starts = np.arange(max(0, len(words) - window + 1)) if copy else np.array(marks or [], np.int64)
-                np.add.at(hit, starts, 1)
-                np.add.at(hit, starts + window, -1)
+                if copy:
+                    marks = [{"pos": 0, "n": len(words) - window + 1}] if len(words) >= window else []
+                for m in marks or ():
+                    hit[m["pos"]] += 1
+                    hit[m["pos"] + m["n"] - 1 + window] -= 1
                 covered = np.cumsum(hit)[:-1] > 0
                 gone.append(int(covered.sum()))
                 edge = np.diff(np.r_[0, covered.view(np.int8), 0])

@@ -191,6 +191,33 @@ def test_bpe(spark):
     assert {r.doc_id: r.decoded for r in bpe.decode(df, path).collect()} == {1: tok.decode([320, 49407], skip_special_tokens=False), 2: "", 3: ""}
 
 
+def passage_rows(spark, rows, **options):
+    got = substring_dedup.repeated_passages(docs_of(spark, rows), **options)
+    return sorted(map(repr, map(tuple, got.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect())))
+
+
+def test_passages_of_rows_that_share_an_id(spark):
+    rng = random.Random(3)
+    a, u, x = (" ".join(f"{n}{rng.randrange(10**6)}" for _ in range(60)) for n in "aux")
+    long = " ".join(f"l{k}" for k in range(500))
+    for rows in ([(1, a), (2, a), (2, u)], [(1, a), (2, f"{long} {a}"), (2, "short")], [(1, a), (2, u), (2, f"{u} {a}"), (2, u), (3, f"{x} {u}"), (3, x)]):
+        assert passage_rows(spark, [(i, t, "s") for i, t in rows]) == sorted(map(repr, brute.repeats(rows)))
+
+
+def test_passages_of_a_common_window(spark):
+    """One passage in every document: too large a group at every length, and its least document still found."""
+    rng = random.Random(6)
+    common = " ".join(f"c{k}" for k in range(20))
+    rows = [(100 - k, f"{' '.join(f'w{rng.randrange(10**6)}' for _ in range(rng.randrange(30)))} {common} end{k}") for k in range(80)]
+    for group in (1, 50, 4096):
+        assert passage_rows(spark, [(i, t, "s") for i, t in rows], group=group) == sorted(map(repr, brute.repeats(rows)))
+
+
+def test_common_prefixes():
+    leaves = np.array([[1, 2, 3], [1, 2, 3], [1, 2, 4], [1, 2, 4], [5, 2, 4]])
+    assert substring_dedup.common_prefixes(leaves, np.array([7, 7, 7, 8, 8])).tolist() == [0, 3, 2, 0, 0]
+
+
 @pytest.mark.parametrize("group", [1, 5, 4096])
 def test_passages(spark, group):
     got = substring_dedup.repeated_passages(docs_of(spark, ROWS), window=13, group=group)
