@@ -22,7 +22,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,23 +31,58 @@ WINDOW = 13  # words of a repeat, at least
 LENGTHS = (4, 8)  # words of a prefix, step by step
 GROUP = 4096  # places of a prefix, at most; some MB of text
 SLICE = 8 << 20  # bytes of text whose places are packed together
-LEAVES = 40_000  # suffixes that are sorted at once, beyond one group
+LEAVES = 40_000  # suffixes that are sorted at once, about, beyond one group
+
+
+#: A fixed pseudo-random value for each byte: two rounds of a multiplicative mix.
+MIX = np.uint64(0x9E3779B97F4A7C15)
+BYTES = np.arange(1, 257, dtype=np.uint64) * MIX
+BYTES ^= BYTES >> np.uint64(31)
+BYTES *= np.uint64(0xBF58476D1CE4E5B9)
+SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
 def word_list(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
-def grams(words: list[bytes], n: int) -> np.ndarray:
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(32)
+
+
+class Words:
+    """The words of some texts in a row: where each begins and ends in ``raw``, its text, and a 64-bit hash."""
+
+    def __init__(self, texts: list[str]):
+        parts = [t.encode() for t in texts]
+        self.raw = b"\n".join(parts)
+        data = np.frombuffer(self.raw, np.uint8)
+        edge = np.diff((~SPACE[data]).view(np.int8), prepend=np.int8(0), append=np.int8(0))
+        self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        self.row = np.searchsorted(np.cumsum([0, *(len(p) + 1 for p in parts)]), self.start, "right") - 1
+        self.hash = np.zeros(len(self.start), np.uint64)
+        for k in range(0, len(self.start), 1 << 16):  # eight-byte numbers for each byte, so in pieces
+            start, end = self.start[k:k + (1 << 16)], self.end[k:k + (1 << 16)]
+            piece = data[start[0]:end[-1]]
+            size = end - start
+            first = np.cumsum(size) - size
+            power = np.cumprod(np.full(int(size.max()), MIX, np.uint64))
+            inner = np.arange(int(size.sum())) - np.repeat(first, size)
+            self.hash[k:k + (1 << 16)] = mixed(np.add.reduceat(BYTES[piece[~SPACE[piece]]] * power[inner], first))
+
+    def number(self) -> np.ndarray:
+        """Of each word, its place in its text."""
+        return np.arange(len(self.row)) - np.searchsorted(self.row, self.row)
+
+
+def grams(h: np.ndarray, n: int) -> np.ndarray:
     """A 64-bit hash of every ``n`` consecutive words."""
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     out = np.zeros(max(0, len(h) - n + 1), np.uint64)
     for k in range(n):
-        out *= np.uint64(0x9E3779B97F4A7C15)
+        out *= MIX
         out += h[k:k + len(out)]
-    out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    return out ^ out >> np.uint64(32)
+    return mixed(out)
 
 
 def picks(h: np.ndarray, n: int) -> np.ndarray:
@@ -62,36 +96,44 @@ def picks(h: np.ndarray, n: int) -> np.ndarray:
     return out + np.arange(len(out))
 
 
-def dealt(words: list[bytes], window: int, lengths: tuple[int, ...], live: list[dict[int, bool]]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(level, gram length, first window, last window, gram) for each length: the stretches of windows that come to
-    it and the gram that each is dealt by. ``live``: by length, whether a gram is too large; dead grams are left out.
-    """
-    todo = np.ones(max(0, len(words) - window + 1), bool)
+def dealt(words: Words, window: int, lengths: tuple[int, ...], live: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(level, first window, last window, gram, kind) by length: the stretches of windows that come to it and the gram
+    that each is dealt by. ``live``: by length the grams within a group and over it; kind says 1 or 2 for these, 0 for
+    the rest. What is over it at the last length comes by whole windows, as a level of its own."""
+    count = max(0, len(words.row) - window + 1)
+    todo = words.row[:count] == words.row[window - 1:]
     for level, n in enumerate(lengths):
         if not todo.any():
             return
-        h = grams(words, n)
+        h = grams(words.hash, n)
         p = picks(h, window - n + 1)
-        first = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (todo[1:] != todo[:-1])])
+        # a gram that two texts share by standing at an edge is in windows of neither
+        first = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (todo[1:] != todo[:-1]) | (words.row[1:count] != words.row[:count - 1])])
         last = np.r_[first[1:], len(p)] - 1
         first, last = first[todo[first]], last[todo[first]]
         gram = h.view(np.int64)[p[first]]
-        yield level, n, first, last, gram
-        todo = np.zeros(len(p), bool)
+        kind = np.zeros(len(gram), np.int8)
         if level < len(live):
-            known = live[level].get
-            for f, z, g in zip(first.tolist(), last.tolist(), gram.tolist(), strict=True):
-                if known(g):
-                    todo[f:z + 1] = True
-    if todo.any():
-        at = np.flatnonzero(todo)
-        yield len(lengths), window, at, at, at
+            cool, hot = live[level]
+            kind = np.isin(gram, cool).astype(np.int8) + 2 * np.isin(gram, hot).astype(np.int8)
+        yield level, first, last, gram, kind
+        over = np.zeros(count + 1, np.int64)
+        over[first[kind == 2]] += 1
+        over[last[kind == 2] + 1] -= 1
+        todo = np.cumsum(over[:-1]) > 0
+    at = np.flatnonzero(todo)
+    yield len(lengths), at, at, at, at
+
 
+def live_grams(batch: pa.RecordBatch, levels: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By length: the live grams within a group and over it. Which they are depends on the gram alone, so a slice's
+    rows share them."""
+    flat = lambda c: np.unique(batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+    return [(flat(f"cool{k}"), flat(f"hot{k}")) for k in range(levels)]
 
-def live_grams(batch: pa.RecordBatch, levels: int) -> list[list[dict[int, bool]]]:
-    """By row and length: the live grams, and whether each is too large."""
-    lists = [[batch.column(f"{kind}{k}").to_pylist() for kind in ("cool", "hot")] for k in range(levels)]
-    return [[dict.fromkeys(c[row] or (), False) | dict.fromkeys(h[row] or (), True) for c, h in lists] for row in range(batch.num_rows)]
+
+def lists(levels: int) -> list[str]:
+    return [f"{kind}{k}" for k in range(levels) for kind in ("cool", "hot")]
 
 
 def gram_rows(docs: DataFrame, window: int, lengths: tuple[int, ...]) -> DataFrame:
@@ -101,25 +143,23 @@ def gram_rows(docs: DataFrame, window: int, lengths: tuple[int, ...]) -> DataFra
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, "text", SLICE):
-            ids, found, often = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for r, text, live in zip(b.column("r").to_pylist(), b.column("text").to_pylist(), live_grams(b, level), strict=True):
-                for at, _, _, _, gram in dealt(word_list(text), window, lengths, live):
-                    if at == level:
-                        g, n = np.unique(gram, return_counts=True)
-                        found.append(g)
-                        often.append(n)
-                        ids.append(np.full(len(g), r, np.int64))
-            gram, row, n = np.concatenate(found), np.concatenate(ids), np.concatenate(often)
-            order = np.argsort(gram, kind="stable")
-            gram, row = gram[order], row[order]
-            head = np.r_[True, gram[1:] != gram[:-1]][:len(gram)]
-            rest = np.diff(np.r_[np.flatnonzero(head), len(gram)]) - 1
-            more = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(rest)], pa.int32()), pa.array(row[~head]))
-            places = np.add.reduceat(n[order], np.flatnonzero(head)) if len(gram) else n
-            yield pa.record_batch([pa.array(gram[head]), pa.array(row[head]), more, pa.array(places, pa.int32())], names=["gram", "r", "more", "places"])
-
-    lists = [f"{kind}{k}" for k in range(level) for kind in ("cool", "hot")]
-    return docs.select("r", "text", *lists).mapInArrow(run, "gram long, r long, more array<long>, places int")
+            words = Words(b.column("text").to_pylist())
+            for at, first, _, gram, _ in dealt(words, window, lengths, live_grams(b, level)):
+                if at != level or not len(first):
+                    continue
+                row = b.column("r").to_numpy(zero_copy_only=False)[words.row[first]]
+                order = np.lexsort((row, gram))
+                gram, row = gram[order], row[order]
+                pair = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (row[1:] != row[:-1])])
+                often = np.diff(np.r_[pair, len(gram)])
+                gram, row = gram[pair], row[pair]
+                head = np.r_[True, gram[1:] != gram[:-1]]
+                rest = np.diff(np.r_[np.flatnonzero(head), len(gram)]) - 1
+                more = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(rest)], pa.int32()), pa.array(row[~head]))
+                places = np.add.reduceat(often, np.flatnonzero(head))
+                yield pa.record_batch([pa.array(gram[head]), pa.array(row[head]), more, pa.array(places, pa.int32())], names=["gram", "r", "more", "places"])
+
+    return docs.select("r", "text", *lists(level)).mapInArrow(run, "gram long, r long, more array<long>, places int")
 
 
 def with_live_grams(docs: DataFrame, window: int, lengths: tuple[int, ...], group: int) -> DataFrame:
@@ -137,49 +177,48 @@ def with_live_grams(docs: DataFrame, window: int, lengths: tuple[int, ...], grou
 
 
 def segments(docs: DataFrame, window: int, lengths: tuple[int, ...]) -> DataFrame:
-    """(key, r, doc_id, pos, seg): the stretches of text whose windows were dealt to a group, words joined by a blank,
-    from word ``pos``. A key is a gram within its group's bound."""
+    """(key, r, doc_id, pos, seg): the stretches of text whose windows were dealt to a group, from word ``pos``. A key
+    is a gram within its group's bound."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, "text", SLICE):
-            rows: list[tuple] = []
-            for r, i, text, live in zip(*(b.column(c).to_pylist() for c in ("r", "doc_id", "text")), live_grams(b, len(lengths)), strict=True):
-                words = word_list(text)
-                for level, _, first, last, gram in dealt(words, window, lengths, live):
-                    if level < len(lengths):
-                        known = live[level].get
-                        rows += [(g, r, i, f, b" ".join(words[f:z + window])) for f, z, g in zip(first.tolist(), last.tolist(), gram.tolist(), strict=True) if known(g) is False]
-            for k in range(0, len(rows), 20_000):
-                c = [*zip(*rows[k:k + 20_000], strict=True)]
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(c, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["key", "r", "doc_id", "pos", "seg"])
+            words = Words(b.column("text").to_pylist())
+            number, (r, doc) = words.number(), (b.column(c).to_numpy(zero_copy_only=False) for c in ("r", "doc_id"))
+            for level, first, last, gram, kind in dealt(words, window, lengths, live_grams(b, len(lengths))):
+                pick = np.flatnonzero(kind == 1) if level < len(lengths) else ()
+                for k in range(0, len(pick), 20_000):
+                    at = pick[k:k + 20_000]
+                    f, row = first[at], words.row[first[at]]
+                    seg = [words.raw[x:z] for x, z in zip(words.start[f].tolist(), words.end[last[at] + window - 1].tolist(), strict=True)]
+                    yield pa.record_batch([pa.array(gram[at]), pa.array(r[row]), pa.array(doc[row]), pa.array(number[f], pa.int32()), pa.array(seg, pa.binary())], names=["key", "r", "doc_id", "pos", "seg"])
 
-    lists = [f"{kind}{k}" for k in range(len(lengths)) for kind in ("cool", "hot")]
-    return docs.select("r", "doc_id", "text", *lists).mapInArrow(run, "key long, r long, doc_id long, pos int, seg binary")
+    return docs.select("r", "doc_id", "text", *lists(len(lengths))).mapInArrow(run, "key long, r long, doc_id long, pos int, seg binary")
 
 
 def nodes(docs: DataFrame, window: int, lengths: tuple[int, ...]) -> DataFrame:
     """(path, least, places ARRAY<STRUCT<r, doc_id, pos>>): the whole windows whose grams are too large at every
     length, by a 128-bit hash of their words; a slice's places share a row, and ``least`` is its least document."""
-    kind = pa.struct([("r", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32())])
+    kinds = [pa.field("r", pa.int64()), pa.field("doc_id", pa.int64()), pa.field("pos", pa.int32())]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, "text", SLICE):
-            found: dict[bytes, list[tuple[int, int, int]]] = {}
-            for r, i, text, live in zip(*(b.column(c).to_pylist() for c in ("r", "doc_id", "text")), live_grams(b, len(lengths)), strict=True):
-                words = word_list(text)
-                for level, _, first, _, _ in dealt(words, window, lengths, live):
-                    for k in first.tolist() if level == len(lengths) else ():
-                        found.setdefault(hashlib.blake2b(b" ".join(words[k:k + window]), digest_size=16).digest(), []).append((r, i, k))
+            words = Words(b.column("text").to_pylist())
+            number, (r, doc) = words.number(), (b.column(c).to_numpy(zero_copy_only=False) for c in ("r", "doc_id"))
+            found: dict[bytes, list[int]] = {}
+            for level, first, _, _, _ in dealt(words, window, lengths, live_grams(b, len(lengths))):
+                for k in first.tolist() if level == len(lengths) else ():
+                    text = b" ".join(words.raw[words.start[k]:words.end[k + window - 1]].split())
+                    found.setdefault(hashlib.blake2b(text, digest_size=16).digest(), []).append(k)
             paths = [*found]
             for k in range(0, len(paths), 5_000):
                 part = paths[k:k + 5_000]
-                flat = np.array([x for p in part for x in found[p]], np.int64).reshape(-1, 3)
+                at = np.concatenate([found[p] for p in part])
                 ends = np.cumsum([0, *(len(found[p]) for p in part)])
-                cells = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1]), pa.array(flat[:, 2].astype(np.int32))], fields=list(kind))
-                least = np.minimum.reduceat(flat[:, 1], ends[:-1])
+                row = words.row[at]
+                cells = pa.StructArray.from_arrays([pa.array(r[row]), pa.array(doc[row]), pa.array(number[at], pa.int32())], fields=kinds)
+                least = np.minimum.reduceat(doc[row], ends[:-1])
                 yield pa.record_batch([pa.array(part, pa.binary()), pa.array(least), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cells)], names=["path", "least", "places"])
 
-    lists = [f"{kind}{k}" for k in range(len(lengths)) for kind in ("cool", "hot")]
-    return docs.select("r", "doc_id", "text", *lists).mapInArrow(run, "path binary, least long, places array<struct<r:long,doc_id:long,pos:int>>")
+    return docs.select("r", "doc_id", "text", *lists(len(lengths))).mapInArrow(run, "path binary, least long, places array<struct<r:long,doc_id:long,pos:int>>")
 
 
 def common_prefixes(leaves: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -195,7 +234,7 @@ def suffix_tree_marks(rows: list[tuple[int, int, int, int, bytes]], window: int)
     by them; the common prefixes of neighbours say where a node as deep as the window begins and ends.
     """
     number: dict[bytes, int] = {}
-    words = [[number.setdefault(w, len(number)) for w in seg.split(b" ")] for *_, seg in rows]
+    words = [[number.setdefault(w, len(number)) for w in seg.split()] for *_, seg in rows]
     size = np.array([len(w) for w in words])
     flat = np.concatenate([np.array(w, np.int32) for w in words])
     count = size - window + 1
@@ -233,7 +272,7 @@ def tree_marks(found: DataFrame, window: int) -> DataFrame:
                     leaves = 0
                 now = row[0]
                 held.append(row)
-                leaves += row[4].count(b" ") + 2 - window
+                leaves += len(row[4]) // 16  # about as many as suffixes
         yield from close()
 
     return found.repartition("key").sortWithinPartitions("key").mapInArrow(run, "r long, doc_id long, pos int, n int")
