@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import durable
 
 MIN_SITES = 10
-COPY_SHARE = 0.8
+BLANKS = " \t\r\x0b\x0c"
 LG_K = 8  # registers of a sketch: 2 ** LG_K
 #: Relative standard error of the sketch, and how many of them around the threshold are counted exactly.
 ERROR, SIGMAS = 1.04 / 2 ** (LG_K / 2), 4
@@ -21,7 +21,7 @@ ERROR, SIGMAS = 1.04 / 2 ** (LG_K / 2), 4
 
 def line_key(line: Column) -> Column:
     """Two 64-bit hashes of a line without the blanks at its ends; null for a blank line."""
-    t = F.btrim(line, F.lit(" \t\r\x0b\x0c"))
+    t = F.btrim(line, F.lit(BLANKS))
     return F.when(t != "", F.struct(F.xxhash64(t).alias("h1"), F.xxhash64(F.lit("line"), t).alias("h2")))
 
 
@@ -31,8 +31,8 @@ def lines(text: Column) -> Column:
 
 def boilerplate(docs: DataFrame, site_col: str, text_col: str, min_sites: int) -> DataFrame:
     """(h1, h2): the lines that stand on ``min_sites`` distinct sites or more. A null site counts for none."""
-    rows = docs.where(F.col(site_col).isNotNull()).select(
-        F.xxhash64(site_col).alias("site"), F.explode(F.array_distinct(F.transform(lines(F.col(text_col)), line_key))).alias("k")
+    rows = docs.where(F.col(f"`{site_col}`").isNotNull()).select(
+        F.xxhash64(F.col(f"`{site_col}`")).alias("site"), F.explode(F.transform(lines(F.col(f"`{text_col}`")), line_key)).alias("k")
     ).where("k is not null").select("k.h1", "k.h2", "site")
     margin = max(1.0, SIGMAS * ERROR * min_sites)
     spread = durable(
@@ -47,46 +47,38 @@ def boilerplate(docs: DataFrame, site_col: str, text_col: str, min_sites: int) -
 
 
 def remove_boilerplate(
-    docs: DataFrame, min_sites: int = MIN_SITES, copy_share: float = COPY_SHARE, id_col: str = "doc_id",
-    site_col: str = "source", text_col: str = "text", proven: bool = False,
+    docs: DataFrame, min_sites: int = MIN_SITES, site_col: str = "source", text_col: str = "text",
 ) -> DataFrame:
     """``docs`` with boilerplate lines cut from the texts; same rows and columns, and n_lines, n_removed BIGINT.
 
     A line is boilerplate if it stands, without the blanks at its ends, on ``min_sites`` distinct sites or more;
-    blank lines never are. A text of whose line bytes ``copy_share`` or more is boilerplate is a copy of a whole
-    page, not a page with boilerplate: it is left as it is, for document-level dedup to judge. With ``proven`` only
-    such a text is left as it is that another row has too, or that has no line of its own. Null texts stay
-    null with no lines; an empty text has one blank line; a null site spreads no line; null ids and repeated rows
-    stay; an empty table gives no rows. ``n_chars``, where present, follows a changed text. Columns named
-    n_lines, n_removed in the input are replaced.
+    blank lines never are. They are cut from every text that has a line of its own besides; a text that has none, a
+    whole copy of a spread page, is left as it is for document-level dedup to judge, as nothing would be left of it.
+    Null texts stay null with no lines; an empty text has one blank line; a null site spreads no line; null ids and
+    repeated rows stay; very long texts are taken whole; an empty table gives no rows. ``n_chars``, where present,
+    follows a changed text. Columns named n_lines, n_removed in the input are replaced; other names never clash, as
+    the input's columns are kept apart in one.
     """
     docs = docs.drop("n_lines", "n_removed")
+    text = F.col(f"`{text_col}`")
+    # rows are known by two hashes of the text: what is cut depends on it alone. The text travels as its lines, so that
+    # what is kept can be taken from them in one pass, however many they are.
+    others = [c for c in docs.columns if c.lower() != text_col.lower()]
+    rows = docs.select(F.struct(F.lit(0), *(F.col(f"`{c}`") for c in others)).alias("d"), lines(text).alias("xs"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("text"), text).alias("t2"))
     found = durable(boilerplate(docs, site_col, text_col, min_sites))
-    own = docs.select(F.col(id_col).alias("i_"), F.explode(F.array_distinct(F.transform(lines(F.col(text_col)), line_key))).alias("k")).where("k is not null")
-    marks = (own.select("i_", "k", "k.h1", "k.h2").join(found, ["h1", "h2"], "left_semi")
-             .groupBy("i_").agg(F.collect_set("k").alias("marks_")))
-    kept = docs.join(marks, docs[id_col].eqNullSafe(F.col("i_")), "left")
-    split = lines(F.col(text_col))
-    size = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda n, x: n + F.octet_length(F.btrim(x, F.lit(" \t\r\x0b\x0c"))))
-    rest = F.filter(split, lambda x: ~F.coalesce(F.array_contains("marks_", line_key(x)), F.lit(False)))
-    few = size(rest) > (1 - copy_share) * size(split)
-    if proven:
-        key = lambda: F.struct(F.xxhash64(text_col).alias("t1"), F.xxhash64(F.lit("text"), text_col).alias("t2"))
-        known = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("j_"), key().alias("t_"))
-        twice = known.groupBy("t_").agg(F.count("*").alias("rows_")).where("rows_ > 1").select("t_")
-        # once an id and text, so that no row of the documents meets two
-        copies = known.join(twice, "t_", "left_semi").groupBy("j_").agg(F.collect_set("t_").alias("copies_"))
-        kept = kept.join(copies, docs[id_col].eqNullSafe(F.col("j_")), "left")
-        few |= (size(rest) > 0) & ~F.coalesce(F.array_contains("copies_", key()), F.lit(False))
-    out = kept.withColumn("rest_", F.when(F.col("marks_").isNotNull(), F.when(few, rest)))
-    n_lines = F.coalesce(F.size(split), F.lit(0)).cast("long")
-    cut = F.col("rest_").isNotNull()
-    put = {
-        text_col: F.when(cut, F.concat_ws("\n", "rest_")).otherwise(F.col(text_col)),
-        "n_chars": F.when(cut, F.length(F.concat_ws("\n", "rest_")).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None,
-    }
-    return out.select(
-        *(put[c].alias(c) if c in put else F.col(c) for c in docs.columns),
-        F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"),
-        F.when(cut, F.size(split) - F.size("rest_")).otherwise(0).cast("long").alias("n_removed"),
+    own = docs.select(F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("text"), text).alias("t2"), F.posexplode(F.transform(lines(text), line_key)).alias("at", "k")).where("k is not null").select("t1", "t2", "at", "k.h1", "k.h2")
+    marks = own.join(found, ["h1", "h2"], "left_semi").groupBy("t1", "t2").agg(F.sort_array(F.collect_set("at")).alias("marks"))
+    marks = marks.select("t1", "t2", F.concat(F.array(F.lit(-1)), "marks").alias("marks"))
+    joined = rows.join(marks, ["t1", "t2"], "left")
+    kept = F.flatten(F.transform("marks", lambda m, i: F.slice("xs", m + 2, F.coalesce(F.get("marks", i + 1), F.size("xs")) - m - 1)))
+    cut = F.coalesce(F.exists(kept, lambda x: F.btrim(x, F.lit(BLANKS)) != ""), F.lit(False))
+    joined = joined.withColumn("kept", F.when(cut, kept))
+    changed = F.col("kept").isNotNull()
+    put = {c: F.col(f"d.`{c}`") for c in others} | {text_col: F.when(F.col("xs").isNotNull(), F.concat_ws("\n", F.coalesce("kept", "xs")))}
+    if "n_chars" in others:
+        put["n_chars"] = F.when(changed, F.length(F.concat_ws("\n", "kept")).cast("long")).otherwise(F.col("d.n_chars"))
+    return joined.select(
+        *(put[c].alias(c) for c in docs.columns),
+        F.when(F.col("xs").isNull(), 0).otherwise(F.size("xs")).cast("long").alias("n_lines"),
+        F.when(changed, F.size("marks") - 1).otherwise(0).cast("long").alias("n_removed"),
     )

@@ -101,9 +101,7 @@ lists AS (SELECT list(bare) AS bad FROM bad),
 cut AS (SELECT doc_id, text, string_split(text, chr(10)) AS xs,
         list_filter(string_split(text, chr(10)), lambda x: NOT coalesce(list_contains(bad, trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12))), false)) AS rest
         FROM documents, lists),
-size AS (SELECT *, coalesce(list_sum(list_transform(xs, lambda x: strlen(trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12))))), 0) AS n,
-         coalesce(list_sum(list_transform(rest, lambda x: strlen(trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12))))), 0) AS m FROM cut),
-judged AS (SELECT *, len(rest) < len(xs) AND m > (1 - {line_dedup.COPY_SHARE}) * n AS does FROM size)
+judged AS (SELECT *, len(list_filter(rest, lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> '')) > 0 AS does FROM cut)
 SELECT doc_id, CAST(coalesce(len(xs), 0) AS BIGINT) AS n_lines,
   CAST(CASE WHEN does THEN len(xs) - len(rest) ELSE 0 END AS BIGINT) AS n_removed,
   sha256(CASE WHEN does THEN array_to_string(rest, chr(10)) ELSE text END) AS kept_sha256 FROM judged

@@ -81,7 +81,7 @@ def repeats(docs, n=13):
     return out
 
 
-def boilerplate(docs, sites, share):
+def boilerplate(docs, sites):
     bare = lambda x: x.strip(" \t\r\x0b\x0c")
     on = defaultdict(set)
     for _, t, s in docs:
@@ -90,13 +90,9 @@ def boilerplate(docs, sites, share):
     bad = {x for x, s in on.items() if len(s) >= sites and x}
     out = []
     for i, t, _ in docs:
-        if t is None:
-            out.append((i, 0, 0, None))
-            continue
-        xs = t.split("\n")
+        xs = [] if t is None else t.split("\n")
         rest = [x for x in xs if bare(x) not in bad]
-        size = lambda ys: sum(len(bare(y).encode()) for y in ys)
-        cut = len(rest) < len(xs) and size(rest) > (1 - share) * size(xs)
+        cut = any(map(bare, rest))
         out.append((i, len(xs), len(xs) - len(rest) if cut else 0, "\n".join(rest) if cut else t))
     return out
 
