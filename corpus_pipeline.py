@@ -21,8 +21,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines are cut from the texts, but not from whole copies and texts without other lines."""
-    return line_dedup.remove_boilerplate(docs, proven=True).select(*docs.columns)
+    """Boilerplate lines are cut from every text that has a line of its own besides. All rows and columns stay, null
+    texts and ids and repeated rows too; an empty table stays empty."""
+    return line_dedup.remove_boilerplate(docs).select(*(f"`{c}`" for c in docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
