@@ -247,6 +247,35 @@ def test_common_prefixes():
     assert substring_dedup.common_prefixes(leaves, np.array([7, 7, 7, 8, 8])).tolist() == [0, 3, 2, 0, 0]
 
 
+def test_bpe_of_every_code_point():
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("word_bpe_49k.json")
+    tok, own = Tokenizer.from_file(path), bpe.load(path)
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    # inside words, and alone between blanks up to the last plane but private use that has letters
+    texts = ["".join(f"a{c}b" + " " * (j % 16 == 0) for j, c in enumerate(points[k:k + 4096])) for k in range(0, len(points), 4096)]
+    texts += [" ".join(points[k:k + 4096]) for k in range(0, 0x33480, 4096)]
+    want = [x.ids for x in tok.encode_batch(texts, add_special_tokens=False)]
+    assert [k for k, t in enumerate(texts) if own.encoded(t) != want[k]] == []
+    own.forget()
+
+
+def test_bpe_of_long_runs():
+    import time
+
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("word_bpe_49k.json")
+    tok, own = Tokenizer.from_file(path), bpe.load(path)
+    for text in ("a" * 100_000, "ab" * 30_001, "aab" * 9_999 + "a" * 7, "!" * 5_001, "Σ" * 333):
+        began = time.process_time()
+        got = own.encoded(text)
+        assert time.process_time() - began < 1.0
+        assert got == tok.encode(text, add_special_tokens=False).ids
+    own.forget()
+
+
 @pytest.mark.parametrize("group", [1, 5, 4096])
 def test_passages(spark, group):
     got = substring_dedup.repeated_passages(docs_of(spark, ROWS), window=13, group=group)
