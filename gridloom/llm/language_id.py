@@ -154,9 +154,10 @@ def train(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: st
     """A model of the labelled rows that ``allowed`` admits; None if there are none.
 
     The sample is bounded: about ``sample`` documents a language, chosen by a hash of the id, and
-    WINDOWS_A_DOC windows of each at hash-drawn places. Languages are counted over all rows.
+    WINDOWS_A_DOC windows of each at a hash-drawn place. Languages are counted over all rows. Rows with a null id,
+    text or label are not learned from; of an id's rows the least counts; an empty table gives None.
     """
-    rows = docs.where(allowed & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = docs.where(allowed & F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     count = {r[0]: r[1] for r in rows.groupBy(label_col).count().collect()}
     if not count:
         return None
@@ -216,8 +217,11 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     return rows.mapInArrow(run, shape).select("k.*", "lang_pred", "score")
 
 
-def reject_unknown(docs: DataFrame, model: Model | None, least: float = 0.3, text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that have no language: no letter at all, or no language of ``least`` mean
-    probability. Same columns; all else stays."""
+def reject_unknown(docs: DataFrame, model: Model | None, over_chance: float = 1.1, text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents that have no language: no letter at all, or no language whose mean probability
+    is ``over_chance`` times that of a guess among the model's languages. Same columns; all else stays: repeated rows,
+    null ids, long texts. Null and empty texts have no letter and go; without a model all go; an empty table stays
+    empty."""
+    least = over_chance / len(model.labels) if model and len(model.labels) > 1 else 0.0
     found = identify(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"), F.col(text_col).alias("t_")), model, text_col="t_", keep=("d",))
     return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("d.*")
