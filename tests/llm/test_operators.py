@@ -347,19 +347,48 @@ def test_language_unknown(spark):
     got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(d, model).collect()}
     assert [got[k] for k in (1, 2, 3)] == [("und", 0.0)] * 3 and got[4][0] in ("en", "fr")
     assert {r.lang_pred for r in language_id.identify(d, None).collect()} == {"und"}
-    kept = language_id.reject_unknown(d, model, least=0.0)
+    kept = language_id.reject_unknown(d, model, over_chance=0.0)
     assert kept.columns == d.columns and [r.doc_id for r in kept.collect()] == [4]
     runs = model.positions("abc" * 100)
     assert runs[0][0] == 0 and runs[-1][1] == 300 and all(a[1] == b[0] for a, b in itertools.pairwise(runs))
     assert model.pooled([b"ab" * 5000]).sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_language_training_on_odd_rows(spark):
+    rows = [(None, "null id text", "s"), (1, None, "s"), (2, "", "s"), (3, "some text", "s"), (3, "some text", "s"), (4, "abc " * 30_000, "s"), (None, None, None)]
+    model = language_id.train(docs_of(spark, rows), F.lit(True))
+    got = language_id.identify(docs_of(spark, rows), model).collect()
+    assert sorted(r.lang_pred for r in got) == ["en"] * 4 + ["und"] * 3
+    assert language_id.train(docs_of(spark, rows).where("doc_id is null"), F.lit(True)) is None
+
+
 def test_toxicity_held_out(spark):
-    sf = "/root/testdata/check_s"
+    sf = "/root/testdata/sf0.1"
     lab = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
     got = queries.op10_toxicity(spark, sf).where("held_out").join(lab, "doc_id").select("toxic", "predicted").collect()
     hit = sum(r.toxic == 1 and r.predicted == 1 for r in got)
-    assert hit >= 0.9 * sum(r.toxic for r in got) and sum(r.predicted for r in got) - hit <= 0.02 * len(got)
+    assert len(got) > 100 and hit >= 0.9 * sum(r.toxic for r in got) and sum(r.predicted for r in got) - hit <= 0.02 * len(got)
+
+
+def test_toxicity_of_odd_rows(spark):
+    """Scores by the plain sum of the weights, over nulls, empties, repeats and long texts."""
+    rng = random.Random(3)
+    pool = [f"{a}{b}" for a in ("gras", "haus", "lumen", "tivo") for b in ("a", "en", "ter", "lich")]
+    rows = [(k, " ".join([*rng.choices(pool, k=20), *(["vileword"] * (k % 2))]), "s") for k in range(200)]
+    labels = [(k, k % 2) for k in range(200)] + [(None, 1), (5, None), (7, 1), (7, 1), (999, 1)]
+    rows += [(None, "vileword", "s"), (300, None, "s"), (301, "", "s"), rows[3], rows[3], (302, "clean " * 50_000 + "vileword", "s"), (303, "123", None)]
+    model = toxicity.train(docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True))
+
+    def plain(text):
+        words = set(brute.re.findall(r"[^\W\d_]+", (text or "").lower()))
+        feats = words | {f"^{w[:n]}" for w in words for n in (4, 5, 6) if len(w) > n}
+        z = model.bias + sum(model.weights.get(brute.xxhash.xxh3_64_intdigest(f), 0.0) for f in feats)
+        return round(1 / (1 + np.exp(-z)), 9)
+
+    got = toxicity.classify(docs_of(spark, rows), model).collect()
+    assert sorted(repr((r.doc_id, round(r.score, 9), r.predicted)) for r in got) == sorted(repr((i, float(plain(t)), int(plain(t) >= 0.3))) for i, t, _ in rows)
+    by = {r.doc_id: r.predicted for r in got}
+    assert by[302] == by[None] == 1 and by[301] == by[300] == by[303] and all(by[k] == k % 2 for k in range(200))
 
 
 def test_counterfactual_penalty():
