@@ -142,7 +142,7 @@ def reconstructed(own: DataFrame) -> DataFrame:
 
 
 def feature(x: bytes) -> str:
-    """Level, power, crossings of the middle and spectral centroid of 8-bit samples, as text."""
+    """Mean level, root mean square, crossings of the middle and entropy in bits of 8-bit samples, as text."""
     a = np.frombuffer(x, np.uint8).astype(np.float64) - 128
     crossings = int(np.count_nonzero(np.signbit(a[1:]) != np.signbit(a[:-1])))
     counts = np.bincount(np.frombuffer(x, np.uint8), minlength=256) / len(a)
