@@ -137,8 +137,8 @@ def lists(levels: int) -> list[str]:
 
 
 def gram_rows(docs: DataFrame, window: int, lengths: tuple[int, ...]) -> DataFrame:
-    """(gram, r, more, places) at the last of ``lengths``: the rows that each gram has windows in, and how many
-    places it has in all; a slice's rows share a row. ``docs``: (r, text), and the live grams of shorter lengths."""
+    """(gram, r, more, places) at the last of ``lengths``: the rows that each gram has windows in (``more`` is null for one
+    alone), and how many places it has in all; a slice's rows share a row. ``docs``: (r, text), and the live grams of shorter lengths."""
     level = len(lengths) - 1
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +155,7 @@ def gram_rows(docs: DataFrame, window: int, lengths: tuple[int, ...]) -> DataFra
                 gram, row = gram[pair], row[pair]
                 head = np.r_[True, gram[1:] != gram[:-1]]
                 rest = np.diff(np.r_[np.flatnonzero(head), len(gram)]) - 1
-                more = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(rest)], pa.int32()), pa.array(row[~head]))
+                more = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(rest)], pa.int32()), pa.array(row[~head]), mask=pa.array(rest == 0))
                 places = np.add.reduceat(often, np.flatnonzero(head))
                 yield pa.record_batch([pa.array(gram[head]), pa.array(row[head]), more, pa.array(places, pa.int32())], names=["gram", "r", "more", "places"])
 
@@ -167,9 +167,9 @@ def with_live_grams(docs: DataFrame, window: int, lengths: tuple[int, ...], grou
     it. How many places a gram has is counted on the map side; the rows that have it are listed only if it is live."""
     k = len(lengths) - 1
     rows = gram_rows(docs if k == 0 else docs.where(F.size(f"hot{k - 1}") > 0), window, lengths)
-    total = rows.groupBy("gram").agg(F.sum(1 + F.size("more")).alias("rows"), F.sum("places").alias("places"))
+    total = rows.groupBy("gram").agg(F.sum(F.when(F.col("more").isNull(), 1).otherwise(1 + F.size("more"))).alias("rows"), F.sum("places").alias("places"))
     known = total.where("rows > 1").select("gram", (F.col("places") > group).alias("hot"))
-    listed = rows.select("gram", F.concat(F.array("r"), F.col("more")).alias("rs")).join(known, "gram")
+    listed = rows.select("gram", "r", "more").join(known, "gram").select("gram", "hot", F.concat(F.array("r"), F.coalesce("more", F.array().cast("array<bigint>"))).alias("rs"))
     # dealt before they are listed: partial lists, one or two grams each, would be most of a shuffle
     by_row = listed.select(F.explode("rs").alias("r"), "gram", "hot").repartition("r").groupBy("r")
     mine = by_row.agg(F.collect_set(F.when(~F.col("hot"), F.col("gram"))).alias(f"cool{k}"), F.collect_set(F.when(F.col("hot"), F.col("gram"))).alias(f"hot{k}"))
@@ -316,7 +316,7 @@ def repeated_passages(
     kept = solid.join(copies.withColumnRenamed("r", "r_"), (F.col("r") == F.col("r_")) & same, "left_anti")
     for k in range(len(lengths)):
         kept = with_live_grams(kept, window, lengths[:k + 1], group)
-    large = durable(nodes(kept.where(F.size(f"hot{len(lengths) - 1}") > 0), window, lengths))
+    large = nodes(kept.where(F.size(f"hot{len(lengths) - 1}") > 0), window, lengths)
     marks = tree_marks(segments(kept, window, lengths), window).unionByName(node_marks(large))
     by_row = marks.groupBy("r", F.col("doc_id").alias("own_id")).agg(F.collect_set(F.struct("pos", "n")).alias("marks"))
     facts = by_row.select("r", "own_id", "marks", F.lit(False).alias("copy")).union(copies.select("r", "own_id", F.lit(None).cast("array<struct<pos:int,n:int>>"), F.lit(True)))

@@ -2,24 +2,29 @@
 
 Texts with the same set of shingles are one class. 32 bands of 4 minima bring two classes together at least once
 with a chance of 1 - (1 - s ** 4) ** 32 at similarity s: at 0.8 one pair of twenty million is missed. What meets in a
-band is compared by its whole shingle sets. First all members of a band's group are held against one of them, which
-joins most of a large group; then those still apart are held against each other, so no pair that meets is left out.
+band is compared by some bits of all its 128 minima, which part what is three standard deviations too far apart (one
+pair of seven hundred at 0.8, fewer above), and then by its whole shingle sets. First all members of a band's group are held
+against one of them, which joins most of a large group; those still apart are then joined by their rarest shingles (a
+prefix filter, which is exact), so texts that meet through one passage that many share are not held against each other.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, durable, text_slices
 from .simhash import shingles
 
 BANDS, ROWS = 32, 4
+PLANES = 3  # bits of each minimum in a sketch
 
 
 def hashes(text: str | None, words: int) -> np.ndarray:
@@ -29,19 +34,24 @@ def hashes(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.array([], np.uint64)
 
 
-def minima(sets: list[np.ndarray]) -> np.ndarray:
-    """(sets, bands): a 64-bit hash of each band's minima; sets aren't empty."""
+def minima(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(sets, bands): a 64-bit hash of each band's minima, and (sets, 2 * PLANES): PLANES bits of every minimum, bit by
+    bit, in words of 64; sets aren't empty."""
     rng = np.random.default_rng(115)
     odd, plus = (rng.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64) for _ in range(2))
     odd |= np.uint64(1)
     flat, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
     low = np.stack([np.minimum.reduceat((flat * a + b) >> np.uint64(32), starts) for a, b in zip(odd, plus, strict=True)], axis=1)
     rows = np.ascontiguousarray(low.reshape(len(sets), BANDS, ROWS))
-    return np.array([[xxhash.xxh64_intdigest(rows[k, band].tobytes(), band) for band in range(BANDS)] for k in range(len(sets))], np.uint64)
+    bands = np.array([[xxhash.xxh64_intdigest(rows[k, band].tobytes(), band) for band in range(BANDS)] for k in range(len(sets))], np.uint64)
+    low = (low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PLANES)
+    bits = [np.packbits((low >> np.uint64(p) & np.uint64(1)).astype(np.uint8), axis=1).view(np.uint64) for p in range(PLANES)]
+    return bands, np.concatenate(bits, axis=1)
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(i, h, k, n, bands) of the rows of (i, h, t) that have words: class, size of the set, hashes by band."""
+    """(i, h, k, n, bands, sketch) of the rows of (i, h, t) that have words: class, size of the set, hashes by band, some
+    bits of each minimum."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, "t", 1 << 18):
             sets = [hashes(t, words) for t in b.column("t").to_pylist()]
@@ -50,11 +60,12 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 continue
             sets = [sets[k] for k in at]
             key = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            bands, bits = (pa.array(list(x.view(np.int64)), pa.list_(pa.int64())) for x in minima(sets))
             yield pa.record_batch(
-                [b.column("i").take(pa.array(at)), b.column("h").take(pa.array(at)), pa.array(key), pa.array([len(s) for s in sets], pa.int64()), pa.array(list(minima(sets).view(np.int64)), pa.list_(pa.int64()))],
-                names=["i", "h", "k", "n", "bands"])
+                [b.column("i").take(pa.array(at)), b.column("h").take(pa.array(at)), pa.array(key), pa.array([len(s) for s in sets], pa.int64()), bands, bits],
+                names=["i", "h", "k", "n", "bands", "sketch"])
 
-    return docs.mapInArrow(run, "i long, h long, k long, n long, bands array<long>")
+    return docs.mapInArrow(run, "i long, h long, k long, n long, bands array<long>, sketch array<long>")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -68,37 +79,64 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("t").mapInArrow(run, "k long, s array<long>")
 
 
+def sketch_limit(least: float) -> int:
+    """How many of the minima may differ in a sketch: three standard deviations over what a pair at ``least`` has."""
+    count, chance = BANDS * ROWS, (1 - least) * (1 - 0.5**PLANES)
+    return math.ceil(count * chance + 3 * math.sqrt(count * chance * (1 - chance)))
+
+
+def alike(a: str, b: str, least: float) -> Column:
+    """Whether two sketches, and two sizes, leave a similarity of ``least`` likely; what fails is too far apart."""
+    words = BANDS * ROWS // 64
+    differ = [reduce(Column.bitwiseOR, [F.col(f"sketch{a}")[p * words + w].bitwiseXOR(F.col(f"sketch{b}")[p * words + w]) for p in range(PLANES)]) for w in range(words)]
+    return (sum(map(F.bit_count, differ)) <= sketch_limit(least)) & (F.least(f"n{a}", f"n{b}") >= least * F.greatest(f"n{a}", f"n{b}"))
+
+
 def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(a, b): each document id of a group of near copies with the group's least id, where they differ.
 
     Two texts link if the Jaccard similarity of their shingle sets is ``least`` or more; groups are connected. Texts
-    without words link to none; fewer words than a shingle are one shingle; null ids are in no pair.
+    without words link to none; fewer words than a shingle are one shingle; null ids are in no pair; repeated rows and
+    rows of one id are one; long texts are compared whole; an empty table gives no pairs.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.xxhash64(F.col(f"`{text_col}`")).alias("h"), F.col(f"`{text_col}`").alias("t"))
     own = durable(signatures(rows, words))
-    classes = durable(own.groupBy("k").agg(F.min("i").alias("least"), F.min("h").alias("h"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    spread = classes.select(F.explode("bands").alias("band"), "k", "n")
+    classes = durable(own.groupBy("k").agg(F.min("i").alias("least"), F.min("h").alias("h"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    facts = lambda x: classes.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"sketch{x}"))
+    spread = classes.select(F.explode("bands").alias("band"), "k")
     groups = spread.groupBy("band").agg(F.count("*").alias("size"), F.min("k").alias("first")).where("size > 1").select("band", "first")
     met = durable(spread.join(groups, "band"))
+    one = met.where("k <> first").select(F.col("first").alias("a"), F.col("k").alias("b")).distinct()
+    one = durable(one.join(facts("b"), "b").join(facts("a"), "a").where(alike("a", "b", least)).select("a", "b"))
+
     texts = rows.join(classes.join(met.select("k").distinct(), "k", "left_semi").select("h"), "h", "left_semi").dropDuplicates(["h"])
     sets = durable(shingle_sets(texts, words).dropDuplicates(["k"]))
 
     def similar(pairs: DataFrame) -> DataFrame:
-        left, right = (sets.select(F.col("k").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+        """The pairs whose whole shingle sets are as similar as that."""
         both = F.size(F.array_intersect("sa", "sb"))
-        return durable(pairs.distinct().join(left, "a").join(right, "b").where(both >= least * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
+        left, right = (sets.select(F.col("k").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+        return durable(pairs.join(left, "a").join(right, "b").where(both >= least * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
 
-    one = met.where("k <> first").select(F.col("first").alias("a"), F.col("k").alias("b"))
     near = similar(one)
     label = connected_components(near, "a", "b").select(F.col("node").alias("k"), "root")
-    named = met.join(label, "k", "left").select("band", "k", "n", F.coalesce("root", "k").alias("root"))
+    named = met.drop("first").join(label, "k", "left").select("band", "k", F.coalesce("root", "k").alias("root"))
     apart = named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-    named = durable(named.join(apart, "band", "left_semi"))
-    left, right = (named.select("band", *(F.col(c).alias(f"{c}{s}") for c in ("k", "n", "root"))) for s in "ab")
-    cross = left.join(right, "band").where((F.col("roota") < F.col("rootb")) & (F.least("na", "nb") >= least * F.greatest("na", "nb")))
-    cross = cross.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct().join(one.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
-    roots = connected_components(near.union(similar(cross)), "a", "b").withColumnRenamed("node", "k")
+    # texts that still meet others: of two as similar as that, the rarest shingles of each, so many as may be missing
+    # in the other and one more, have one in common. A passage that many share is never among them.
+    open_ = durable(named.join(apart, "band", "left_semi").select("k", "root").distinct())
+    tokens = sets.join(open_.select("k"), "k", "left_semi").select("k", F.size("s").alias("n"), F.explode("s").alias("x"))
+    often = tokens.groupBy("x").agg(F.count("*").alias("c")).where("c > 1")
+    known = tokens.join(often, "x").groupBy("k", "n").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("xs"))
+    spare = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("xs"))
+    rare = known.select("k", F.slice("xs.x", F.lit(1), F.greatest(spare.cast("int"), F.lit(0))).alias("xs")).where(F.size("xs") > 0)
+    rare = durable(rare.join(open_, "k").join(classes.select("k", "n", "sketch"), "k").select("*", F.explode("xs").alias("x")))
+    left, right = (rare.select("x", *(F.col(c).alias(f"{c}{s}") for c in ("k", "n", "sketch", "root", "xs"))) for s in "ab")
+    # a pair comes once, by the least shingle that both have there
+    cross = left.join(right, "x").where((F.col("roota") < F.col("rootb")) & alike("a", "b", least) & (F.array_min(F.array_intersect("xsa", "xsb")) == F.col("x")))
+    cross = similar(cross.select(F.col("ka").alias("a"), F.col("kb").alias("b")))
+    roots = connected_components(near.union(cross), "a", "b").withColumnRenamed("node", "k")
     grouped = classes.join(roots, "k", "left").select("k", "least", F.coalesce("root", "k").alias("root"))
     lowest = grouped.groupBy("root").agg(F.min("least").alias("b"))
     of = grouped.join(lowest, "root").select("k", "b")
-    return own.join(of, "k").where("i <> b").select(F.col("i").alias("a"), "b")
+    return own.select("i", "k").join(of, "k").where("i <> b").select(F.col("i").alias("a"), "b")
