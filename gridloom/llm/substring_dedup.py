@@ -195,7 +195,7 @@ def segments(docs: DataFrame, window: int, lengths: tuple[int, ...]) -> DataFram
 
 
 def nodes(docs: DataFrame, window: int, lengths: tuple[int, ...]) -> DataFrame:
-    """(path, least, places ARRAY<STRUCT<r, doc_id, pos>>): the whole windows whose grams are too large at every
+    """(path, least, slice, places ARRAY<STRUCT<r, doc_id, pos>>): the whole windows whose grams are too large at every
     length, by a 128-bit hash of their words; a slice's places share a row, and ``least`` is its least document."""
     kinds = [pa.field("r", pa.int64()), pa.field("doc_id", pa.int64()), pa.field("pos", pa.int32())]
 
@@ -216,9 +216,9 @@ def nodes(docs: DataFrame, window: int, lengths: tuple[int, ...]) -> DataFrame:
                 row = words.row[at]
                 cells = pa.StructArray.from_arrays([pa.array(r[row]), pa.array(doc[row]), pa.array(number[at], pa.int32())], fields=kinds)
                 least = np.minimum.reduceat(doc[row], ends[:-1])
-                yield pa.record_batch([pa.array(part, pa.binary()), pa.array(least), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cells)], names=["path", "least", "places"])
+                yield pa.record_batch([pa.array(part, pa.binary()), pa.array(least), pa.array(np.full(len(part), r[0])), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cells)], names=["path", "least", "slice", "places"])
 
-    return docs.select("r", "doc_id", "text", *lists(len(lengths))).mapInArrow(run, "path binary, least long, places array<struct<r:long,doc_id:long,pos:int>>")
+    return docs.select("r", "doc_id", "text", *lists(len(lengths))).mapInArrow(run, "path binary, least long, slice long, places array<struct<r:long,doc_id:long,pos:int>>")
 
 
 def common_prefixes(leaves: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -278,11 +278,34 @@ def tree_marks(found: DataFrame, window: int) -> DataFrame:
     return found.repartition("key").sortWithinPartitions("key").mapInArrow(run, "r long, doc_id long, pos int, n int")
 
 
+def runs(found: np.ndarray) -> pa.RecordBatch:
+    """(r, doc_id, pos, n): the places in ``found``, of which rows 1 to 3 are r, doc and pos, as runs."""
+    r, doc, pos = found[1:, np.lexsort(found[3:0:-1])]
+    first = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (doc[1:] != doc[:-1]) | (pos[1:] > pos[:-1] + 1)][:len(r)])
+    last = np.r_[first[1:], len(r)] - 1
+    n = pos[last] - pos[first] + 1 if len(r) else pos
+    return pa.record_batch([pa.array(r[first]), pa.array(doc[first]), pa.array(pos[first], pa.int32()), pa.array(n, pa.int32())], names=["r", "doc_id", "pos", "n"])
+
+
 def node_marks(found: DataFrame) -> DataFrame:
-    """(r, doc_id, pos, n): the places of whole-window nodes that have a smaller document."""
+    """(r, doc_id, pos, n): the places of whole-window nodes that have a smaller document. They go back to their slices
+    together, where the windows of a passage join to one run."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((4, 0), np.int64)
+        for b in batches:
+            cells, count = b.column("places").flatten(), np.diff(b.column("places").offsets.to_numpy())
+            parts = [np.repeat(b.column("slice").to_numpy(zero_copy_only=False), count), *(cells.field(c).to_numpy(zero_copy_only=False) for c in ("r", "doc_id", "pos"))]
+            held = np.concatenate([held, np.stack([x.astype(np.int64) for x in parts])], axis=1)
+            whole = np.searchsorted(held[0], held[0, -1]) if held.shape[1] else 0  # sorted: slices before the last one
+            if whole:
+                yield runs(held[:, :whole])
+                held = held[:, whole:]
+        yield runs(held)
+
     least = found.groupBy("path").agg(F.min("least").alias("low"))
     over = F.filter("places", lambda x: x["doc_id"] > F.col("low"))
-    return found.join(least, "path").select(F.explode(over).alias("x")).select("x.*", F.lit(1).alias("n"))
+    dealt = found.join(least, "path").select("slice", over.alias("places")).where(F.size("places") > 0)
+    return dealt.repartition("slice").sortWithinPartitions("slice").mapInArrow(run, "r long, doc_id long, pos int, n int")
 
 
 def repeated_passages(
