@@ -4,8 +4,11 @@ Texts with the same set of shingles are one class. 32 bands of 4 minima bring tw
 with a chance of 1 - (1 - s ** 4) ** 32 at similarity s: at 0.8 one pair of twenty million is missed. What meets in a
 band is compared by some bits of all its 128 minima, which part what is three standard deviations too far apart (one
 pair of seven hundred at 0.8, fewer above), and then by its whole shingle sets. First all members of a band's group are held
-against one of them, which joins most of a large group; those still apart are then joined by their rarest shingles (a
-prefix filter, which is exact), so texts that meet through one passage that many share are not held against each other.
+against one of them, which joins most of a large group. What its sketch leaves near that one is a family. A family that
+is not yet joined is cut into chunks of bounded size, and each pair of chunks is one block, in which every member is
+counted against all others at once and only links that join come out: no pair of a family is ever a row. Texts of
+different families are joined by their rarest shingles (a prefix filter, which is exact), so texts that meet through one
+passage that many share are not held against each other.
 """
 
 from __future__ import annotations
@@ -20,11 +23,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, durable, text_slices
+from .common import connected_components, durable, release, text_slices
 from .simhash import shingles
 
 BANDS, ROWS = 32, 4
 PLANES = 3  # bits of each minimum in a sketch
+CHUNK = 1 << 18  # shingles of a chunk of a family, about; a block holds two of them
 
 
 def hashes(text: str | None, words: int) -> np.ndarray:
@@ -92,6 +96,67 @@ def alike(a: str, b: str, least: float) -> Column:
     return (sum(map(F.bit_count, differ)) <= sketch_limit(least)) & (F.least(f"n{a}", f"n{b}") >= least * F.greatest(f"n{a}", f"n{b}"))
 
 
+def joining_links(key: np.ndarray, root: np.ndarray, size: np.ndarray, flat: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Pairs of ``key`` whose sets, in ``flat`` one after another, are as similar as ``least``: so many as join all that
+    such pairs connect, beyond what ``root`` does already."""
+    label = np.unique(root, return_inverse=True)[1]
+    word = np.unique(flat, return_inverse=True)[1]
+    starts = np.cumsum(size) - size
+    out = []
+    for i in range(len(key)):
+        if (label == label[0]).all():
+            break
+        mine = np.zeros(word.max() + 1, bool)
+        mine[word[starts[i]:starts[i] + size[i]]] = True
+        both = np.add.reduceat(mine[word], starts, dtype=np.int64)
+        near = (both >= least * (size[i] + size - both)) & (label != label[i])
+        for other in np.unique(label[near]):
+            out.append((int(key[i]), int(key[np.flatnonzero(near & (label == other))[0]])))
+            near &= label != other
+            label[label == other] = label[i]
+    return out
+
+
+def family_links(members: DataFrame, sets: DataFrame, least: float, chunk: int = CHUNK) -> DataFrame:
+    """(a, b): links that join what is similar within each family of ``members``, (k, n, root, family), beyond its roots.
+
+    A member goes to one chunk, and with it to as many blocks as its family has chunks.
+    """
+    parts = members.groupBy("family").agg(F.ceil(F.sum("n") / chunk).alias("parts"), F.min("root").alias("low"), F.max("root").alias("high"))
+    spread = members.join(parts.where("low <> high"), "family").withColumn("c", F.pmod(F.xxhash64("k"), "parts"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("o")
+    blocks = spread.select("k", "root", "family", "c", other).select("k", "root", "family", F.least("c", "o").alias("x"), F.greatest("c", "o").alias("y"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if held:
+                all_ = pa.Table.from_batches(held).combine_chunks()
+                key, root = (all_.column(c).to_numpy() for c in ("k", "root"))
+                s = all_.column("s").chunk(0)
+                found = joining_links(key, root, np.diff(s.offsets.to_numpy()), s.flatten().to_numpy(), least)
+                if found:
+                    yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+            held.clear()
+
+        for b in batches:
+            at = np.stack([b.column(c).to_numpy() for c in ("family", "x", "y")])
+            cuts = np.r_[0, np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1, b.num_rows]
+            for u, v in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if u == v:
+                    continue
+                if now != (now := tuple(at[:, u].tolist())):
+                    yield from close()
+                held.append(b.slice(u, v - u))
+        yield from close()
+        release()
+
+    dealt = blocks.join(sets, "k").repartition("family", "x", "y").sortWithinPartitions("family", "x", "y")
+    return dealt.select("family", "x", "y", "k", "root", "s").mapInArrow(run, "a long, b long")
+
+
 def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(a, b): each document id of a group of near copies with the group's least id, where they differ.
 
@@ -108,6 +173,7 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str
     met = durable(spread.join(groups, "band"))
     one = met.where("k <> first").select(F.col("first").alias("a"), F.col("k").alias("b")).distinct()
     one = durable(one.join(facts("b"), "b").join(facts("a"), "a").where(alike("a", "b", least)).select("a", "b"))
+    family = durable(connected_components(one, "a", "b").select(F.col("node").alias("k"), F.col("root").alias("family")))
 
     texts = rows.join(classes.join(met.select("k").distinct(), "k", "left_semi").select("h"), "h", "left_semi").dropDuplicates(["h"])
     sets = durable(shingle_sets(texts, words).dropDuplicates(["k"]))
@@ -119,23 +185,26 @@ def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str
         return durable(pairs.join(left, "a").join(right, "b").where(both >= least * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
 
     near = similar(one)
-    label = connected_components(near, "a", "b").select(F.col("node").alias("k"), "root")
-    named = met.drop("first").join(label, "k", "left").select("band", "k", F.coalesce("root", "k").alias("root"))
-    apart = named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-    # texts that still meet others: of two as similar as that, the rarest shingles of each, so many as may be missing
-    # in the other and one more, have one in common. A passage that many share is never among them.
-    open_ = durable(named.join(apart, "band", "left_semi").select("k", "root").distinct())
+    rooted = lambda x: connected_components(x, "a", "b").select(F.col("node").alias("k"), "root")
+    members = family.join(rooted(near), "k", "left").join(classes.select("k", "n"), "k").select("k", "n", F.coalesce("root", "k").alias("root"), "family")
+    near = durable(near.union(family_links(durable(members), sets, least)))
+    # links stay within families, and those are done. Texts that meet others: of two as similar as that, the rarest
+    # shingles of each, so many as may be missing in the other and one more, have one in common. A passage that many
+    # share is never among them.
+    named = met.drop("first").join(family, "k", "left").select("band", "k", F.coalesce("family", "k").alias("family"))
+    apart = named.groupBy("band").agg(F.min("family").alias("low"), F.max("family").alias("high")).where("low <> high").select("band")
+    open_ = durable(named.join(apart, "band", "left_semi").select("k", "family").distinct())
     tokens = sets.join(open_.select("k"), "k", "left_semi").select("k", F.size("s").alias("n"), F.explode("s").alias("x"))
     often = tokens.groupBy("x").agg(F.count("*").alias("c")).where("c > 1")
     known = tokens.join(often, "x").groupBy("k", "n").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("xs"))
     spare = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("xs"))
     rare = known.select("k", F.slice("xs.x", F.lit(1), F.greatest(spare.cast("int"), F.lit(0))).alias("xs")).where(F.size("xs") > 0)
     rare = durable(rare.join(open_, "k").join(classes.select("k", "n", "sketch"), "k").select("*", F.explode("xs").alias("x")))
-    left, right = (rare.select("x", *(F.col(c).alias(f"{c}{s}") for c in ("k", "n", "sketch", "root", "xs"))) for s in "ab")
+    left, right = (rare.select("x", *(F.col(c).alias(f"{c}{s}") for c in ("k", "n", "sketch", "family", "xs"))) for s in "ab")
     # a pair comes once, by the least shingle that both have there
-    cross = left.join(right, "x").where((F.col("roota") < F.col("rootb")) & alike("a", "b", least) & (F.array_min(F.array_intersect("xsa", "xsb")) == F.col("x")))
+    cross = left.join(right, "x").where((F.col("familya") < F.col("familyb")) & alike("a", "b", least) & (F.array_min(F.array_intersect("xsa", "xsb")) == F.col("x")))
     cross = similar(cross.select(F.col("ka").alias("a"), F.col("kb").alias("b")))
-    roots = connected_components(near.union(cross), "a", "b").withColumnRenamed("node", "k")
+    roots = rooted(near.union(cross))
     grouped = classes.join(roots, "k", "left").select("k", "least", F.coalesce("root", "k").alias("root"))
     lowest = grouped.groupBy("root").agg(F.min("least").alias("b"))
     of = grouped.join(lowest, "root").select("k", "b")

@@ -535,3 +535,51 @@ def test_license_gate_is_implied_by_every_regex(spark):
     rows = [(k, t, "s") for k, t in enumerate(("licensed under GPL3", "without warranties of any kind", "Unauthorized copying of it is strictly prohibited", "licence ouverte"))]
     got = {r.doc_id: list(r.labels) for r in licenses.scan_licenses(docs_of(spark, rows)).collect()}
     assert got == {0: ["gpl-3.0"], 1: ["warranty"], 2: ["proprietary"], 3: ["etalab-2.0"]}
+
+
+def shingle_set(text):
+    words = text.lower().split()
+    return {tuple(words[k:k + 5]) for k in range(len(words) - 4)}
+
+
+def components(ids, links):
+    root = {i: i for i in ids}
+    for a, b in links:
+        low, high = sorted((root[a], root[b]))
+        root = {i: low if r == high else r for i, r in root.items()}
+    return root
+
+
+def test_family_links_join_what_all_pairs_connect(spark):
+    from gridloom.llm.word_sets import family_links
+
+    rng = random.Random(8)
+    sets = {k: set(rng.sample(range(10**6 * (k % 3), 10**6 * (k % 3) + 14), 11)) for k in range(90)}
+    table = spark.createDataFrame([(k, sorted(s)) for k, s in sets.items()], "k long, s array<long>")
+    members = spark.createDataFrame([(k, len(s), k, k % 3) for k, s in sets.items()], "k long, n long, root long, family long")
+    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for chunk in (10**6, 70):  # one block a family, and some hundred
+        got = [(r.a, r.b) for r in family_links(members, table, 0.8, chunk).collect()]
+        assert set(got) <= {(a, b) for x in near for a, b in (x, x[::-1])}
+        assert components(sets, got) == components(sets, near)
+    one = members.selectExpr("k", "n", "0L as root", "0L as family")
+    assert family_links(one, table, 0.8).count() == 0  # joined already
+    assert family_links(members.limit(0), table, 0.8).count() == 0
+
+
+def test_near_copies_in_a_dense_family(spark):
+    from gridloom.llm import word_sets
+
+    rng = random.Random(21)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts = []
+    for _ in range(70):  # most pairs are a little under 0.8
+        words = list(base)
+        for at in rng.sample(range(200), rng.choice((2, 3, 4))):
+            words[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    sets = [shingle_set(t) for t in texts]
+    near = [(a, b) for a in range(70) for b in range(a + 1, 70) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = {(i, r) for i, r in components(range(70), near).items() if i != r}
+    got = word_sets.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {(r.a, r.b) for r in got.collect()} == want and 5 < len(want) < 69
