@@ -56,17 +56,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+EDGES = 1 << 12  # edges a task is worth starting for, in the rounds of connected components
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): the smallest node reachable from each node that has an edge.
 
     Alternating large-star and small-star rounds; each is one minimum per node (map-side combined) and
-    one equi-join, so no node's neighbours are gathered anywhere. Edges of the round are checkpointed.
+    one equi-join, so no node's neighbours are gathered anywhere. Edges of the round are checkpointed; its exchanges
+    are written by as many tasks as they are worth, since every task leaves files of its own at every exchange.
     Null ends are ignored; an edge from a node to itself yields no row. Empty input gives no rows.
     """
     def clean(df: DataFrame) -> DataFrame:
         u, v = F.greatest("u", "v"), F.least("u", "v")
         return df.where("u is not null and v is not null and u <> v").select(u.alias("u"), v.alias("v")).distinct()
 
+    tasks = 1 << 30
     cur, mark = durable(clean(edges.select(F.col(a).alias("u"), F.col(b).alias("v")))), None
     while True:
         now = cur.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
@@ -75,9 +80,12 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
                 cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             )
         mark = now
+        tasks = min(tasks, now[0] // EDGES + 1)
+        cur = cur.coalesce(tasks)
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = clean(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        large = large.coalesce(tasks)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        cur = durable(clean(small.union(least.select("u", F.col("m").alias("v")))))
+        cur = durable(clean(small.union(least.select("u", F.col("m").alias("v")))).coalesce(tasks))
